@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP3_SQL, op3
 from .sharding import op8
 
 QUERIES = {
+    "op3_exact_dedup": op3,
     "op8_sharding": op8,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_exact_dedup": OP3_SQL,
+}
