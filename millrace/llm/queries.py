@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3
+from .packing import op10
 from .sharding import op8
 
 QUERIES = {
+    "op10_packing": op10,
     "op3_exact_dedup": op3,
     "op8_sharding": op8,
 }
