@@ -5,8 +5,10 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3
 from .packing import op10
 from .sharding import op8
+from .toxicity import op9
 
 QUERIES = {
+    "op9_toxicity": op9,
     "op10_packing": op10,
     "op3_exact_dedup": op3,
     "op8_sharding": op8,

@@ -145,5 +145,40 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     out[wide] = run[(w.bounds[rows] + inside)[wide]]
     for r in np.flatnonzero((counts > 0) & ~full):
         own = w.hash[w.bounds[r] : w.bounds[r + 1]]
-        out[bounds[r]] = (own * p[: len(own)]).sum(dtype=np.uint64) + _U(len(own)) * _U(0xD6E8FEB86659FD93)
+        out[bounds[r]] = (own * p[: len(own)]).sum(dtype=np.uint64, keepdims=True)[0] ^ _U(len(own) * 0xD6E8FEB86659FD93 % 2**64)
     return mix64(out), bounds
+
+
+def terms(offsets: np.ndarray, data: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of the terms of a slice: bare words, and the first bytes of longer ones by ``prefixes``.
+
+    A word and a prefix of the same spelling are different terms.
+    """
+    value, cut = _BARE
+    n = len(data)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not n:
+        return none
+    inside = ~cut[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[first] = inside[first]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return none
+    spans = np.diff(at, append=n)
+    place = np.arange(at[0], n, dtype=np.int64) - np.repeat(at, spans)
+    term = value[data[at[0] :]]
+    term *= powers(int(place.max()) + 1)[place] if place.max() < 1 << 16 else _power_of(place)
+    rows = np.searchsorted(offsets, at, side="right") - 1
+    hashes, owners = [mix64(np.add.reduceat(term, at - at[0]))], [rows]
+    size = np.add.reduceat(inside[at[0] :].astype(np.int64), at - at[0]) if prefixes else None
+    for p in prefixes:
+        longer = size > p
+        heads = at[longer] - at[0]
+        if len(heads):
+            own = term[heads[:, None] + np.arange(p)].sum(1, dtype=np.uint64)
+            hashes.append(mix64(own + _U(p * 0xD6E8FEB86659FD93 % 2**64)))
+            owners.append(rows[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
