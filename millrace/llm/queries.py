@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3
 from .near_dedup import op2
 from .packing import op10
+from .pii import op4
 from .sharding import op8
 from .toxicity import op9
 
 QUERIES = {
+    "op4_pii": op4,
     "op2_near_dedup": op2,
     "op9_toxicity": op9,
     "op10_packing": op10,
