@@ -8,8 +8,10 @@ from .packing import op10
 from .pii import op4
 from .sharding import op8
 from .toxicity import op9
+from .url_filter import OP1_SQL, op1
 
 QUERIES = {
+    "op1_url_filter": op1,
     "op4_pii": op4,
     "op2_near_dedup": op2,
     "op9_toxicity": op9,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_url_filter": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
