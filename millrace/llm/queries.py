@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3
+from .html_extract import op6
 from .near_dedup import op2
 from .packing import op10
 from .pii import op4
@@ -11,6 +12,7 @@ from .toxicity import op9
 from .url_filter import OP1_SQL, op1
 
 QUERIES = {
+    "op6_html_extract": op6,
     "op1_url_filter": op1,
     "op4_pii": op4,
     "op2_near_dedup": op2,
