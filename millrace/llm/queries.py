@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7
 from .exact_dedup import OP3_SQL, op3
 from .html_extract import op6
 from .near_dedup import op2
@@ -12,6 +13,7 @@ from .toxicity import op9
 from .url_filter import OP1_SQL, op1
 
 QUERIES = {
+    "op7_ann": op7,
     "op6_html_extract": op6,
     "op1_url_filter": op1,
     "op4_pii": op4,
