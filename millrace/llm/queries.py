@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op7
 from .exact_dedup import OP3_SQL, op3
 from .html_extract import op6
+from .mixing import op5
 from .near_dedup import op2
 from .packing import op10
 from .pii import op4
@@ -13,6 +14,7 @@ from .toxicity import op9
 from .url_filter import OP1_SQL, op1
 
 QUERIES = {
+    "op5_mixing": op5,
     "op7_ann": op7,
     "op6_html_extract": op6,
     "op1_url_filter": op1,
