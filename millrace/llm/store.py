@@ -51,6 +51,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def as_files(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` if it is a plain read of files, else ``df`` stored.
+
+    ``monotonically_increasing_id`` gives the rows of a plain read the same
+    numbers in every pass, whatever columns are read, as it numbers them before
+    any filter or join.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return df if plan.nodeName() in ("LogicalRelation", "Relation") or plan.nodeName().startswith("Relation") else stored(df, tag)
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """Left join ``rows`` to ``table``, which has one row for each key.
 

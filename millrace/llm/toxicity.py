@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .textkernel import slices, terms
 
 #: Labelled rows that the fit draws, about; all of them where there are fewer.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 #: Bits of the hash that tell terms apart.
 BITS = 20
 #: Terms that get weights: those whose presence says most about the label.
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", row_id="doc_id", lab
         examples = []
     else:
         at, flat = bounds.offsets.to_numpy(), bounds.values.to_numpy()
-        examples = [flat[at[k] : at[k + 1]].astype(np.int64) for k in range(len(bounds))]
+        examples = [flat[at[k] : at[k + 1]] for k in range(len(bounds))]
     return FactorizationMachine.fit(examples, rows["label"].to_numpy())
 
 
@@ -202,16 +202,20 @@ def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", int
     keep = [c for c in df.columns if c != into]
     schema = df.select(*keep).schema
     fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], f"`{into}` double"]
+    # The text goes to Python once, if it is among what is kept.
+    at = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else len(keep)
+    sent = df.select(*keep) if at < len(keep) else df.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for a, b, offsets, data in slices(batch.column(batch.num_columns - 1)):
+            parts = [np.zeros(0)]
+            for a, b, offsets, data in slices(batch.column(at)):
                 parts.append(model.predict(b - a, *_distinct(offsets, data)))
-            scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*keep, into])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], [*keep, into]
+            )
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, ", ".join(fields))
+    return sent.mapInArrow(run, ", ".join(fields))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
