@@ -83,4 +83,4 @@ def custom(function: Callable[..., Column], *getters: Getter, empty=None) -> Spe
     grouped-aggregate ``pandas_udf`` works too, at the price of moving the
     group's values to Python.
     """
-    return _aggregate(getattr(function, "__name__", "custom"), function, *getters, empty=empty)
+    return _aggregate("custom", function, *getters, empty=empty)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -208,4 +209,9 @@ def compile_over(item: Over, row: RowProxy, frame: DataFrame) -> Column:
             raise Unfoldable
         return F.nth_value(args[0], i + 1).over(w)
     value = spec.build(*args).over(w)
+    if spec.name == "custom":
+        try:
+            frame.select(value)
+        except AnalysisException:  # a composition of aggregates is no single window function
+            raise Unfoldable from None
     return value if spec.empty is None else F.coalesce(value, F.lit(spec.empty))

@@ -180,17 +180,17 @@ def agg_custom(t: _Tables) -> Relation:
     )
 
 
-@query("SELECT p_brand, round(avg(p_retailprice), 4) AS middle FROM part GROUP BY p_brand")
+@query("SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY p_brand")
 def agg_custom_pandas(t: _Tables) -> Relation:
     @F.pandas_udf("double")
-    def middle(x: pd.Series) -> float:
-        return float(x.mean())
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
 
     return (
         t.part
         >> m.group_by(p_brand=get("p_brand"))
-        >> m.aggregate(middle=m.custom(middle, get("p_retailprice")))
-        >> m.mutate(middle=lambda r: _r(r.middle))
+        >> m.aggregate(spread=m.custom(spread, get("p_retailprice")))
+        >> m.mutate(spread=lambda r: _r(r.spread))
     )
 
 

@@ -176,9 +176,24 @@ def add_over(frame: DataFrame, item: Over, row: RowProxy, into: str) -> DataFram
     return out.select(*names, value.alias(into))
 
 
+def _add_whole(frame: DataFrame, item: Over, row: RowProxy, into: str) -> DataFrame:
+    """An aggregate over whole partitions: grouped once and joined back."""
+    names, parts = frame.columns, [column(p, row) for p in item.window.partition_by]
+    keys = [f"__p{k}" for k in range(len(parts))]
+    grouped = frame.groupBy(*[p.alias(f"__r{k}") for p, k in zip(parts, keys, strict=True)])
+    value = item.spec.build(*item.spec.columns(row))
+    found = grouped.agg((value if item.spec.empty is None else F.coalesce(value, F.lit(item.spec.empty))).alias(into))
+    if not keys:
+        return frame.crossJoin(found)  # one row
+    left = frame.select("*", *[p.alias(k) for p, k in zip(parts, keys, strict=True)])
+    return _join(left, found, [(k, f"__r{k}") for k in keys], "left").select(*names, into)
+
+
 def over_column(frame: DataFrame, item: Over, row: RowProxy, into: str) -> tuple[DataFrame, Column]:
     """The frame, rewritten if need be, and the expression of ``item`` in it."""
     try:
         return frame, compile_over(item, row, frame)
     except Unfoldable:
-        return add_over(frame, item, row, into), F.col(into)
+        w = item.window
+        whole = item.spec.kind == "aggregate" and not w.order_by and (w.mode == "range" or w.preceding is None and w.following is None)
+        return (_add_whole if whole else add_over)(frame, item, row, into), F.col(into)
