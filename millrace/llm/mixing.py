@@ -44,8 +44,14 @@ _DIGITS[48:58] = True
 _BREAKS[10] = True
 
 
-def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, term) by row, and tokens (white-space words) of each row.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _features(
+    offsets: np.ndarray, data: np.ndarray, known: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, term) by row, and tokens (white-space words) of each row; with ``known`` flags, of those terms only.
 
     Terms are words, beginnings of words, and shapes: shares of capitals,
     punctuation, digits and line breaks, length, and repetition, in steps.
@@ -53,27 +59,33 @@ def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     rows = len(offsets) - 1
     hashes, row = terms(offsets, data, PREFIXES)
     sizes = np.maximum(np.diff(offsets), 1)
-    total = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[data])])[offsets])
-    own = hashes >> np.uint64(64 - BITS)
-    code = np.unique((row.astype(np.uint64) << np.uint64(BITS)) | own)
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    inside = ~space[data]
+    counted = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])[offsets])
+    term = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    # Repetition: marks of the terms that a row has, in a table of a few bits a term, against all of its terms.
+    many = np.bincount(row, minlength=rows)
+    width = 4 * np.maximum(many, 1)
+    start = np.cumsum(width) - width
+    marks = np.zeros(int(width.sum()), bool)
+    marks[start[row] + term * 2654435761 % width[row]] = True
+    distinct = np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[np.append(start, len(marks))])
+    if known is not None:
+        some = known[term]
+        term, row = term[some], row[some]
+    inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = inside[first]
-    tokens = np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])
-    distinct = np.bincount((code >> np.uint64(BITS)).astype(np.int64), minlength=rows)
-    shapes = [np.minimum(total(t) * 40 // sizes, 39) for t in (_UPPER, _PUNCT, _DIGITS, _BREAKS)]
-    shapes += [np.log2(sizes).astype(np.int64), np.minimum(distinct * 20 // np.maximum(tokens, 1), 79)]
-    extra = [
-        (np.arange(rows).astype(np.uint64) << np.uint64(BITS))
-        | (mix64((np.uint64(k * 1000 + 7) + s.astype(np.uint64))) >> np.uint64(64 - BITS))
-        for k, s in enumerate(shapes)
-    ]
-    code = np.unique(np.concatenate([code, *extra]))
-    return (code >> np.uint64(BITS)).astype(np.int64), (code & np.uint64((1 << BITS) - 1)).astype(np.int64), tokens
+    tokens = counted(begins).astype(np.int64)
+    shapes = [np.minimum(counted(t[data]) * 40 // sizes, 39) for t in (_UPPER, _PUNCT, _DIGITS, _BREAKS)]
+    shapes += [np.log2(sizes).astype(np.int64), np.minimum(distinct * 20 // np.maximum(many, 1), 79)]
+    code = [(row << BITS) | term]
+    for k, s in enumerate(shapes):
+        own = (mix64(np.uint64(k * 1000 + 7) + s.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+        some = slice(None) if known is None else known[own]
+        code.append((np.arange(rows)[some] << BITS) | own[some])
+    code = np.unique(np.concatenate(code))
+    return code >> BITS, code & ((1 << BITS) - 1), tokens
 
 
 @dataclass
@@ -130,6 +142,12 @@ class Posterior:
                 b = b - 0.05 * e.sum(0)
         return cls(domains, b.astype(float), chosen, w.astype(float))
 
+    def flags(self) -> np.ndarray:
+        """Whether a hash is that of a term with weights."""
+        out = np.zeros(1 << BITS, bool)
+        out[self.terms] = True
+        return out
+
     def predict(self, rows: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
         spot = np.searchsorted(self.terms, term)
         known = spot < len(self.terms)
@@ -191,11 +209,11 @@ def posteriors(df: DataFrame, model: Posterior, *, text: str = "text") -> DataFr
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.domains)
+        k, known = len(model.domains), model.flags()
         for batch in batches:
             counts, said = [np.zeros(0, np.int64)], [np.zeros((0, k))]
             for a, b, offsets, data in slices(batch.column(batch.num_columns - 1)):
-                row, term, tokens = _features(offsets, data)
+                row, term, tokens = _features(offsets, data, known)
                 counts.append(tokens)
                 said.append(model.predict(b - a, row, term))
             p = np.concatenate(said)
