@@ -40,9 +40,12 @@ FACTORS = 8
 EPOCHS = 40
 
 
-def _distinct(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hashed term) of a slice, by row."""
+def _distinct(offsets: np.ndarray, data: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hashed term) of a slice, by row; with ``known`` flags of hashes, of those terms only."""
     hashes, rows = terms(offsets, data, PREFIXES)
+    if known is not None:
+        some = known[hashes >> np.uint64(64 - BITS)]
+        hashes, rows = hashes[some], rows[some]
     code = (rows.astype(np.uint64) << np.uint64(BITS)) | (hashes >> np.uint64(64 - BITS))
     code = np.unique(code)
     return (code >> np.uint64(BITS)).astype(np.int64), (code & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -114,6 +117,12 @@ class FactorizationMachine:
                 b = adam(np.array([b]), np.array([e.sum()]), state[2], rate)[0]
         return cls(float(b), chosen, w.astype(np.float64), v.astype(np.float64))
 
+    def flags(self) -> np.ndarray:
+        """Whether a hash is that of a term with weights."""
+        out = np.zeros(1 << BITS, bool)
+        out[self.terms] = True
+        return out
+
     def predict(self, rows: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Scores of ``rows`` documents from their distinct (row, hashed term)."""
         spot = np.searchsorted(self.terms, term)
@@ -207,10 +216,11 @@ def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", int
     sent = df.select(*keep) if at < len(keep) else df.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.flags()
         for batch in batches:
             parts = [np.zeros(0)]
             for a, b, offsets, data in slices(batch.column(at)):
-                parts.append(model.predict(b - a, *_distinct(offsets, data)))
+                parts.append(model.predict(b - a, *_distinct(offsets, data, known)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], [*keep, into]
             )
