@@ -180,6 +180,8 @@ class WordBpe:
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts whose UTF-8 bytes are ``data[offsets[i] : offsets[i + 1]]``: all in a row, and bounds."""
         rows = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
         text = data.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(points) == len(data):
