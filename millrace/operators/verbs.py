@@ -22,18 +22,14 @@ def _check(items: dict[str, Any]) -> None:
 
 def _compiled(relation: Relation, items: dict[str, Any]) -> tuple[DataFrame, dict[str, Column]]:
     """The frame and an expression for each item; windows of the same kind share a pass."""
-    from ..plans.frames import over_column
+    from ..plans.frames import over_columns
 
-    frame, row, out = relation.frame, relation.row, {}
-    overs = [x for x in items.values() if isinstance(x, Over)]
-    if any(needs_arrival(x) or not x.window.order_by and x.window.mode == "rows" for x in overs):
+    frame, row = relation.frame, relation.row
+    overs = {n: x for n, x in items.items() if isinstance(x, Over)}
+    if any(needs_arrival(x) or not x.window.order_by and x.window.mode == "rows" for x in overs.values()):
         frame = with_arrival(frame)
-    for name, item in items.items():
-        if isinstance(item, Over):
-            frame, out[name] = over_column(frame, item, row, f"__over_{len(out)}")
-        else:
-            out[name] = column(item, row)
-    return frame, out
+    frame, made = over_columns(frame, overs, row)
+    return frame, {n: made[n] if n in made else column(x, row) for n, x in items.items()}
 
 
 def select(**projectors: Getter | Over) -> Verb:

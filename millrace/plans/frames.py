@@ -24,8 +24,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.window import ARRIVAL, Descending, Nulls, Over, compile_over, micros, order_columns, window_spec
-from ..operators.window import Unfoldable
+from ..functions.spec import Spec
+from ..operators.window import (
+    ARRIVAL,
+    Descending,
+    Nulls,
+    Over,
+    Unfoldable,
+    Window,
+    compile_over,
+    micros,
+    order_columns,
+    window_spec,
+    with_arrival,
+)
 from ..proxy import RowProxy, column, traced
 
 #: Rows of a block that frames are joined with.
@@ -130,70 +142,110 @@ def _range_bounds(
     )
 
 
-def add_over(frame: DataFrame, item: Over, row: RowProxy, into: str) -> DataFrame:
-    """``frame`` with the column ``into``: the function over its window, row by row."""
-    from ..operators.window import with_arrival
-
-    names = frame.columns
-    if not item.window.order_by:
-        frame = with_arrival(frame)
-    spec = item.spec
-    work, keys = _numbered(frame, item, row)
-    args = spec.columns(row)
-    on = [*[(k, f"__r{k}") for k in keys], ("__to", "__rn")]
-    if spec.name in ("lead", "lag"):
-        offset, default = column(spec.extra["n"], row), column(spec.extra["default"], row)
-        work = work.withColumn("__to", F.col("__n") + (offset if spec.name == "lead" else -offset)).withColumn("__default", default)
-        shown = _seen(work, keys, F.col("__n"), {"__x": args[0], "__matched": F.lit(True)})
-        out = _join(work, shown, on, "left")
-        # A null in a row that is there stays; only a missing row takes the default.
-        return out.select(*names, F.when(F.col("__matched"), F.col("__x")).otherwise(F.col("__default")).alias(into))
-    work = _bounds(work, item, row, keys)
+def _add_moved(out: DataFrame, base: DataFrame, keys: list[str], into: str, spec: Spec, row: RowProxy) -> DataFrame:
+    """``out`` with the value of another row, found by its number: ``lead``, ``lag`` and ``nth``."""
+    args, n = spec.columns(row), F.col("__n")
     if spec.name == "nth":
         i = column(spec.extra["i"], row)
         to = F.when(i >= 0, F.col("__lo") + i).otherwise(F.col("__hi") + 1 + i)
-        work = work.withColumn("__to", to)
-        work = work.withColumn("__to", F.when(F.col("__to").between(F.col("__lo"), F.col("__hi")), F.col("__to")))
-        shown = _seen(work, keys, F.col("__n"), {"__x": args[0]})
-        return _join(work, shown, on, "left").select(*names, F.col("__x").alias(into))
+        to = F.when(to.between(F.col("__lo"), F.col("__hi")), to)
+        default = F.lit(None)
+    else:
+        offset = column(spec.extra["n"], row)
+        to = n + (offset if spec.name == "lead" else -offset)
+        default = column(spec.extra["default"], row)
+    out = out.withColumn("__to", to).withColumn("__default", default)
+    shown = _seen(base, keys, n, {"__x": args[0], "__matched": F.lit(True)})
+    names = [c for c in out.columns if c not in ("__to", "__default")]
+    out = _join(out, shown, [*[(k, f"__r{k}") for k in keys], ("__to", "__rn")], "left")
+    # A null in a row that is there stays; only a missing row takes the default.
+    return out.select(*names, F.when(F.col("__matched"), F.col("__x")).otherwise(F.col("__default")).alias(into))
+
+
+def _add_framed(out: DataFrame, base: DataFrame, keys: list[str], specs: dict[str, Spec], row: RowProxy) -> DataFrame:
+    """``out`` with aggregates over each row's frame, all by one join of frames with blocks of rows."""
     block = lambda c: F.floor(c / BLOCK).cast("long")
-    shown = _seen(work, keys, F.col("__n"), {f"__x{k}": a for k, a in enumerate(args)}).withColumn("__rblock", block(F.col("__rn")))
-    wide = work.where(F.col("__lo") <= F.col("__hi")).select(
+    args = {into: spec.columns(row) for into, spec in specs.items()}
+    values = {f"__x{i}_{j}": a for i, own in enumerate(args.values()) for j, a in enumerate(own)}
+    shown = _seen(base, keys, F.col("__n"), values).withColumn("__rblock", block(F.col("__rn")))
+    wide = base.where(F.col("__lo") <= F.col("__hi")).select(
         *keys, "__n", "__lo", "__hi", F.explode(F.sequence(block(F.col("__lo")), block(F.col("__hi")))).alias("__block")
     )
     pairs = _join(wide, shown, [*[(k, f"__r{k}") for k in keys], ("__block", "__rblock")], "inner")
     pairs = pairs.where(F.col("__rn").between(F.col("__lo"), F.col("__hi")))
-    values = [F.col(f"__x{k}") for k in range(len(args))]
-    if spec.name in ("first", "last"):
-        pick = F.min_by if spec.name == "first" else F.max_by
-        value = pick(values[0], F.when(values[0].isNotNull(), F.col("__rn")))
-    else:
-        value = spec.build(*values)
-    found = pairs.groupBy(*keys, "__n").agg(value.alias("__value"))
-    found = found.select(*[F.col(k).alias(f"__r{k}") for k in keys], F.col("__n").alias("__rn"), "__value")
-    out = _join(work, found, [*[(k, f"__r{k}") for k in keys], ("__n", "__rn")], "left")
-    value = F.col("__value") if spec.empty is None else F.coalesce("__value", F.lit(spec.empty))
-    return out.select(*names, value.alias(into))
-
-
-def _add_whole(frame: DataFrame, item: Over, row: RowProxy, into: str) -> DataFrame:
-    """An aggregate over whole partitions: grouped once and joined back."""
-    names, parts = frame.columns, [column(p, row) for p in item.window.partition_by]
+    made = []
+    for i, (into, spec) in enumerate(specs.items()):
+        own = [F.col(f"__x{i}_{j}") for j in range(len(args[into]))]
+        if spec.name in ("first", "last"):
+            pick = F.min_by if spec.name == "first" else F.max_by
+            value = pick(own[0], F.when(own[0].isNotNull(), F.col("__rn")))
+        else:
+            value = spec.build(*own)
+        made.append(value.alias(f"__value{i}"))
+    found = pairs.groupBy(*keys, "__n").agg(*made)
+    found = found.select(*[F.col(k).alias(f"__r{k}") for k in keys], F.col("__n").alias("__rn"), *[f"__value{i}" for i in range(len(made))])
+    names = out.columns
+    out = _join(out, found, [*[(k, f"__r{k}") for k in keys], ("__n", "__rn")], "left")
+    final = []
+    for i, (into, spec) in enumerate(specs.items()):
+        value = F.col(f"__value{i}")
+        final.append((value if spec.empty is None else F.coalesce(value, F.lit(spec.empty))).alias(into))
+    return out.select(*names, *final)
+
+
+def _add_whole(frame: DataFrame, window: Window, specs: dict[str, Spec], row: RowProxy) -> DataFrame:
+    """Aggregates over whole partitions: grouped once and joined back."""
+    names, parts = frame.columns, [column(p, row) for p in window.partition_by]
     keys = [f"__p{k}" for k in range(len(parts))]
     grouped = frame.groupBy(*[p.alias(f"__r{k}") for p, k in zip(parts, keys, strict=True)])
-    value = item.spec.build(*item.spec.columns(row))
-    found = grouped.agg((value if item.spec.empty is None else F.coalesce(value, F.lit(item.spec.empty))).alias(into))
+    made = []
+    for into, spec in specs.items():
+        value = spec.build(*spec.columns(row))
+        made.append((value if spec.empty is None else F.coalesce(value, F.lit(spec.empty))).alias(into))
+    found = grouped.agg(*made)
     if not keys:
         return frame.crossJoin(found)  # one row
     left = frame.select("*", *[p.alias(k) for p, k in zip(parts, keys, strict=True)])
-    return _join(left, found, [(k, f"__r{k}") for k in keys], "left").select(*names, into)
+    return _join(left, found, [(k, f"__r{k}") for k in keys], "left").select(*names, *specs)
 
 
-def over_column(frame: DataFrame, item: Over, row: RowProxy, into: str) -> tuple[DataFrame, Column]:
-    """The frame, rewritten if need be, and the expression of ``item`` in it."""
-    try:
-        return frame, compile_over(item, row, frame)
-    except Unfoldable:
-        w = item.window
-        whole = item.spec.kind == "aggregate" and not w.order_by and (w.mode == "range" or w.preceding is None and w.following is None)
-        return (_add_whole if whole else add_over)(frame, item, row, into), F.col(into)
+def add_overs(frame: DataFrame, window: Window, specs: dict[str, Spec], row: RowProxy) -> DataFrame:
+    """``frame`` with a column for each of ``specs``, functions over one window that no Spark window can say.
+
+    The frame is numbered once; its plan appears once for the rows themselves,
+    twice for all aggregates together and once for every offset.
+    """
+    unbounded = window.mode == "range" or window.preceding is None and window.following is None
+    if not window.order_by and unbounded and all(s.kind == "aggregate" for s in specs.values()):
+        return _add_whole(frame, window, specs, row)
+    names = frame.columns
+    if not window.order_by:
+        frame = with_arrival(frame)
+    item = Over(next(iter(specs.values())), window)
+    base, keys = _numbered(frame, item, row)
+    if any(s.name not in ("lead", "lag") for s in specs.values()):
+        base = _bounds(base, item, row, keys)
+    out = base
+    for into, spec in specs.items():
+        if spec.name in ("lead", "lag", "nth"):
+            out = _add_moved(out, base, keys, into, spec, row)
+    framed = {into: s for into, s in specs.items() if s.name not in ("lead", "lag", "nth")}
+    if framed:
+        out = _add_framed(out, base, keys, framed, row)
+    return out.select(*names, *specs)
+
+
+def over_columns(frame: DataFrame, items: dict[str, Over], row: RowProxy) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame, rewritten if need be, and an expression of every item in it."""
+    out: dict[str, Column] = {}
+    rest: dict[Window, dict[str, Spec]] = {}
+    hidden = {}
+    for k, (name, item) in enumerate(items.items()):
+        try:
+            out[name] = compile_over(item, row, frame)
+        except Unfoldable:
+            hidden[name] = f"__over_{k}"
+            rest.setdefault(item.window, {})[hidden[name]] = item.spec
+    for window, specs in rest.items():
+        frame = add_overs(frame, window, specs, row)
+    return frame, out | {name: F.col(inner) for name, inner in hidden.items()}
