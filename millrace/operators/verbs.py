@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spec import Spec
-from ..proxy import Getter, Pair, RowProxy, column
+from ..proxy import Getter, Pair, RowProxy, column, depth, tracing
 from ..relation import Relation, Verb, as_relation, curried
 from .window import ARRIVAL, Descending, Nulls, Over, needs_arrival, ordered, with_arrival
 
 
+_sifts = itertools.count()
+
+
 def _check(items: dict[str, Any]) -> None:
     for name, item in items.items():
         if isinstance(item, Spec) or not (callable(item) or isinstance(item, Column | Over)):
@@ -83,14 +87,27 @@ def _truth(said: Any, frame: DataFrame) -> Column:
 def sift(predicate: Any, child: Any) -> Relation:
     """The rows for which the predicate is true; null, 0 and empty strings are not."""
     relation = as_relation(child)
-    said = predicate if isinstance(predicate, Column) else predicate(relation.row)
-    return Relation(relation.frame.where(_truth(said, relation.frame)), relation.shape)
+    name = f"sift{next(_sifts)}"
+    frame = relation.frame.alias(name)
+    with tracing() as level:
+        said = predicate if isinstance(predicate, Column) else predicate(RowProxy(relation.shape, name))
+    if level == 1:
+        said = _truth(said, frame)
+    elif not isinstance(said, Column):
+        said = F.lit(bool(said))
+    return Relation(frame.where(said), relation.shape)
 
 
 @curried(1)
-def exists(relation: Any) -> bool:
-    """Whether there is any row; runs a job that stops at the first.  For a test per row use ``semi_join``."""
-    return not as_relation(relation).frame.isEmpty()
+def exists(relation: Any) -> bool | Column:
+    """Whether there is any row: a job that stops at the first.
+
+    Within a predicate of ``sift`` it is a condition on the row, and Catalyst
+    plans it as a semi join, or as an anti join after ``~``:
+    ``t >> sift(lambda r: exists(u >> sift(lambda o: o.k == r.k)))``.
+    """
+    frame = as_relation(relation).frame
+    return frame.exists() if depth() else not frame.isEmpty()
 
 
 def order_by(*keys: Getter | Descending, nulls: Nulls = Nulls.FIRST) -> Verb:

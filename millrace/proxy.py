@@ -6,7 +6,9 @@ it returns becomes an expression of the plan.  No Python runs for a row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import contextlib
+import contextvars
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -31,13 +33,34 @@ def leaves(shape: Shape) -> list[tuple[str, str]]:
     return [*leaves(shape.left), *leaves(shape.right)] if isinstance(shape, Pair) else list(shape.items())
 
 
+#: How many predicates are being traced within each other; a row of an outer one is an outer reference in an inner one.
+_depth: contextvars.ContextVar[int] = contextvars.ContextVar("depth", default=0)
+
+
+@contextlib.contextmanager
+def tracing() -> Iterator[int]:
+    """Within it a predicate is called; the value is its depth."""
+    token = _depth.set(_depth.get() + 1)
+    try:
+        yield _depth.get()
+    finally:
+        _depth.reset(token)
+
+
+def depth() -> int:
+    return _depth.get()
+
+
 class RowProxy:
     """``row.name`` and ``row["name"]`` are the column; joined rows also have ``row.left`` and ``row.right``."""
 
-    __slots__ = ("_shape",)
+    __slots__ = ("_depth", "_name", "_shape")
 
-    def __init__(self, shape: Shape):
+    def __init__(self, shape: Shape, name: str | None = None):
+        """``name``: the alias of the frame, where columns of several frames meet in one expression."""
         object.__setattr__(self, "_shape", shape)
+        object.__setattr__(self, "_name", name)
+        object.__setattr__(self, "_depth", depth())
 
     def __getitem__(self, name: str) -> Column:
         found = [inner for public, inner in leaves(self._shape) if public == name]
@@ -45,12 +68,15 @@ class RowProxy:
             raise KeyError(name)
         if len(found) > 1:
             raise ValueError(f"column {name!r} is on both sides of the join; use row.left or row.right")
-        return F.col(f"`{found[0]}`")
+        own = F.col(f"{self._name}.`{found[0]}`" if self._name else f"`{found[0]}`")
+        return own.outer() if depth() > self._depth else own
 
     def __getattr__(self, name: str) -> Column | RowProxy:
         shape = object.__getattribute__(self, "_shape")
         if isinstance(shape, Pair) and name in ("left", "right"):
-            return RowProxy(getattr(shape, name))
+            side = RowProxy(getattr(shape, name), self._name)
+            object.__setattr__(side, "_depth", self._depth)
+            return side
         if name.startswith("__"):
             raise AttributeError(name)
         try:

@@ -9,6 +9,7 @@ from millrace import (
     cross_join,
     difference,
     difference_all,
+    exists,
     full_join,
     get,
     inner_join,
@@ -79,6 +80,16 @@ def test_semi_and_anti(same):
     same(table(EMPLOYEE) >> anti_join(table(DEPARTMENT), BY_ID), EMPLOYEE[5:])
 
 
+def test_exists_within_a_predicate(same):
+    t, u = table(EMPLOYEE), table(DEPARTMENT)
+    match = lambda r: u >> sift(lambda o: (o.department_id == r.department_id) & (o.department_name != "Sales"))
+    same(t >> sift(lambda r: exists(match(r))), EMPLOYEE[1:5])
+    same(t >> sift(lambda r: ~exists(match(r))), [EMPLOYEE[0], EMPLOYEE[5]])
+    same(t >> sift(lambda r: exists(match(r)) | (r.last_name == "Williams")), EMPLOYEE[1:])
+    plan = (t >> sift(lambda r: exists(match(r)))).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_null_keys(same):
     a, b = [dict(x=None), dict(x=1)], [dict(y=None), dict(y=2)]
     same(table(a) >> inner_join(table(b), lambda l, r: l.x == r.y), [])
