@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import MinHash, shingle_sets
+from .sparse import tidied
 from .store import lookup, stored
 from .textkernel import mix64, slices
 
@@ -88,7 +89,7 @@ def _signed(df: DataFrame, text: str, row_id: str, size: int, functions: int, se
 
     return df.select(
         F.col(row_id).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text).cast("string")
-    ).mapInArrow(run, f"id {kind}, uid long, k1 long, k2 long, n long, blob binary")
+    ).mapInArrow(tidied(run), f"id {kind}, uid long, k1 long, k2 long, n long, blob binary")
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -157,23 +158,24 @@ def candidate_ties(classes: DataFrame, functions: int, percent: int) -> DataFram
     error = math.sqrt(percent / 100 * (1 - percent / 100) / functions)
     least = max(0.0, percent / 100 - 4.8 * error)
     trees = functions // DEPTH
-    rows = classes.select("node", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), "sig")
-    rows = rows.select("tree", "node", *[_label("sig", F.col("tree"), d).alias(f"d{d}") for d in range(FROM_DEPTH, DEPTH + 1)])
-    rows = stored(rows, "forest")
+    every = F.explode(F.array(*[F.lit(t) for t in range(trees)]))
+    places = classes.select("node", every.alias("tree"), "sig")
+    total = classes.count() * trees
     ready, crowded = [], []
     for depth in range(FROM_DEPTH, DEPTH + 1):
-        keyed = rows.withColumnRenamed(f"d{depth}", "key")
-        total = keyed.count()
-        if not total:
-            break
+        keyed = places.select("tree", "node", _label("sig", F.col("tree"), depth).alias("key"))
         counts = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
         found = stored(lookup(keyed, stored(counts, "forest-counts"), ["tree", "key"], "c", total).where("c > 1"), "forest-rows")
         ready.append(found.where(F.col("c") <= REGION).select("tree", "key", "node"))
-        rows = found.where(F.col("c") > REGION).drop("key", "c", "hub")
+        full = found.where(F.col("c") > REGION)
         if depth == DEPTH:
-            crowded.append(found.where((F.col("c") > REGION) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    if not ready:
-        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+            crowded.append(full.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+            break
+        total = full.count()
+        if not total:
+            break
+        # Only what is crowded goes a value deeper.
+        places = full.select("tree", "node").join(classes.select("node", "sig"), "node")
     members = ready[0]
     for more in ready[1:]:
         members = members.unionByName(more)
@@ -327,15 +329,11 @@ def _confirm_wide(wide: DataFrame, percent: int, schema: str) -> DataFrame:
     every = F.sequence(F.lit(0), blocks - 1)
     rows = wide.withColumn("block", F.explode(F.when(hub, every).otherwise(F.array(block))))
     confirm = _confirm(percent)
-
-    def drop_task(part: pd.DataFrame) -> pd.DataFrame:
-        return confirm(part)
-
     first = stored(
         rows.withColumn("first", F.lit(True))
         .select("cluster", "block", "node", "first", "blob")
         .groupBy("cluster", "block")
-        .applyInPandas(drop_task, schema),
+        .applyInPandas(confirm, schema),
         "near-blocks",
     )
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
