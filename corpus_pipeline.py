@@ -32,11 +32,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__score") < 0.5).select(*docs.columns)
 
 
+#: Dropped rows that are sent to all tasks as numbers; more of them meet their documents in a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def _keep(docs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
-    """The rows of ``docs`` (see ``as_files``) whose place is kept in ``found`` (``id, uid, kept``)."""
-    kept = stored(found.where("kept").select(F.col("uid").alias("__uid")), tag)
+    """The rows of ``docs`` (see ``as_files``) but those whose place is not kept in ``found`` (``id, uid, kept``)."""
+    gone = stored(found.where("NOT kept").select(F.col("uid").alias("__uid")), tag)
+    few = gone.count() <= BROADCAST_ROWS
     numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return numbered.join(kept, "__uid", "left_semi").select(*docs.columns)
+    return numbered.join(F.broadcast(gone) if few else gone, "__uid", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
