@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sparse import chosen_terms, examples_of, give_back, tidied
 from .store import stored
 from .textkernel import mix64, slices, terms
 
 #: Labelled rows that the classifier is fitted on, at most about.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8_000
 BITS, TERMS, EPOCHS = 20, 2_048, 30
-LEAST_DOCS = 4
+LEAST_CHI, LEAST_DOCS = 10.0, 4
 PREFIXES = (4, 5)
 RIDGE = 1e-3
 #: Steps of the fit at most, and the change of any total, in parts of all tokens, at which it ends.
@@ -106,25 +107,7 @@ class Posterior:
         bias = np.log(counts / counts.sum())
         if not n:
             return cls(domains, bias, np.zeros(0, np.int64), np.zeros((0, k)))
-        flat = np.concatenate(examples)
-        row = np.repeat(np.arange(n), [len(x) for x in examples])
-        seen = np.bincount(flat, minlength=1 << BITS).astype(float)
-        chi = np.zeros(1 << BITS)
-        for d in range(k):
-            ones = float((y == d).sum())
-            if 0 < ones < n:
-                hit = np.bincount(flat[y[row] == d], minlength=1 << BITS)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    own = (hit * n - seen * ones) ** 2 * n / (seen * (n - seen) * ones * (n - ones))
-                chi = np.maximum(chi, np.nan_to_num(own))
-        chi[seen < LEAST_DOCS] = 0
-        chosen = np.argsort(-chi, kind="stable")[:TERMS]
-        chosen = np.sort(chosen[chi[chosen] > 10])
-        slot = np.full(1 << BITS, -1)
-        slot[chosen] = np.arange(len(chosen))
-        x = np.zeros((n, len(chosen)), np.uint8)
-        some = slot[flat] >= 0
-        x[row[some], slot[flat[some]]] = 1
+        chosen, x = chosen_terms(examples, y, k, 1 << BITS, TERMS, LEAST_CHI, LEAST_DOCS)
         w, b = np.zeros((len(chosen), k), np.float32), bias.astype(np.float32)
         m, v = np.zeros_like(w), np.zeros_like(w)
         rng, step = np.random.default_rng(seed), 0
@@ -190,17 +173,14 @@ def fit_posterior(
         docs.select(F.col(row_id).alias("__id"), F.col(text).cast("string").alias("__text"))
         .join(F.broadcast(drawn), "__id")
         .select("__id", "__domain", "__text")
-        .mapInArrow(features, f"id {kind}, domain string, terms array<int>")
+        .mapInArrow(tidied(features), f"id {kind}, domain string, terms array<int>")
         .toArrow()
-        .sort_by("id")
     )
-    lists = rows["terms"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        examples = []
-    else:
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        examples = [flat[at[k] : at[k + 1]] for k in range(len(lists))]
-    return Posterior.fit(examples, rows["domain"].to_pylist(), domains)
+    examples, order = examples_of(rows, "id", "terms")
+    model = Posterior.fit(examples, rows["domain"].take(pa.array(order)).to_pylist(), domains)
+    del rows, examples
+    give_back()
+    return model
 
 
 def posteriors(df: DataFrame, model: Posterior, *, text: str = "text") -> DataFrame:
@@ -223,7 +203,7 @@ def posteriors(df: DataFrame, model: Posterior, *, text: str = "text") -> DataFr
             )
 
     schema = ", ".join([*fields, "tokens long", "posterior array<double>"])
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 @dataclass
