@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sparse import chosen_terms, examples_of, give_back, tidied
 from .textkernel import slices, terms
 
 #: Labelled rows that the fit draws, about; all of them where there are fewer.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Bits of the hash that tell terms apart.
 BITS = 20
 #: Terms that get weights: those whose presence says most about the label.
@@ -73,24 +74,9 @@ class FactorizationMachine:
         empty = cls(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
         if not 0 < ones < n:
             return empty
-        sizes = np.array([len(x) for x in examples])
-        flat = np.concatenate(examples)
-        row = np.repeat(np.arange(n), sizes)
-        seen = np.bincount(flat, minlength=1 << BITS).astype(np.float64)
-        hit = np.bincount(flat[labels[row] == 1], minlength=1 << BITS).astype(np.float64)
-        gap = hit * n - seen * ones
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi = np.nan_to_num(gap * gap * n / (seen * (n - seen) * ones * (n - ones)))
-        chi[seen < LEAST_DOCS] = 0
-        chosen = np.argsort(-chi, kind="stable")[:TERMS]
-        chosen = np.sort(chosen[chi[chosen] >= LEAST_CHI])
+        chosen, x = chosen_terms(examples, labels, 2, 1 << BITS, TERMS, LEAST_CHI, LEAST_DOCS)
         if not len(chosen):
             return empty
-        slot = np.full(1 << BITS, -1)
-        slot[chosen] = np.arange(len(chosen))
-        x = np.zeros((n, len(chosen)), np.uint8)
-        some = slot[flat] >= 0
-        x[row[some], slot[flat[some]]] = 1
         rng = np.random.default_rng(seed)
         w, v = np.zeros(len(chosen), np.float32), rng.normal(0, 0.02, (len(chosen), FACTORS)).astype(np.float32)
         b = np.float32(bias)
@@ -188,17 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", row_id="doc_id", lab
         docs.select(F.col(row_id).alias("__id"), F.col(text).cast("string").alias("__text"))
         .join(F.broadcast(drawn), "__id")
         .select("__id", "__label", "__text")
-        .mapInArrow(features, f"id {kind}, label int, terms array<int>")
+        .mapInArrow(tidied(features), f"id {kind}, label int, terms array<int>")
         .toArrow()
-        .sort_by("id")
     )
-    bounds = rows["terms"].combine_chunks()
-    if isinstance(bounds, pa.ChunkedArray):
-        examples = []
-    else:
-        at, flat = bounds.offsets.to_numpy(), bounds.values.to_numpy()
-        examples = [flat[at[k] : at[k + 1]] for k in range(len(bounds))]
-    return FactorizationMachine.fit(examples, rows["label"].to_numpy())
+    examples, order = examples_of(rows, "id", "terms")
+    model = FactorizationMachine.fit(examples, rows["label"].to_numpy()[order])
+    del rows, examples
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", into: str = "score") -> DataFrame:
@@ -225,7 +208,7 @@ def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", int
                 [*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], [*keep, into]
             )
 
-    return sent.mapInArrow(run, ", ".join(fields))
+    return sent.mapInArrow(tidied(run), ", ".join(fields))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
