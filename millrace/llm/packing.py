@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sparse import tidied
 from .store import stored
 from .textkernel import slices
 
-#: Pieces of one length that one task ranks, about.
-RANKED_TOGETHER = 500_000
+#: Pieces of one length that one task ranks, about; and the parts that any length is dealt to at least.
+RANKED_TOGETHER, LEAST_PARTS = 500_000, 64
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -122,7 +123,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    return df.select(F.col(row_id), F.col(text).cast("string")).mapInArrow(cut, schema + ", ids array<int>" * with_ids)
+    return df.select(F.col(row_id), F.col(text).cast("string")).mapInArrow(tidied(cut), schema + ", ids array<int>" * with_ids)
 
 
 def pack(
@@ -154,7 +155,8 @@ def pack(
         "pack-pieces",
     )
     histogram = {r[0]: r[1] for r in made.groupBy("length").count().collect()}
-    buckets = -(-sum(histogram.values()) // RANKED_TOGETHER) or 1
+    hottest = max(histogram.values(), default=0)
+    buckets = max(-(-hottest // RANKED_TOGETHER), min(LEAST_PARTS, -(-hottest // 100)), 1)
     table = places(plan(histogram, capacity))
     bucketed = made.withColumn("__bucket", F.pmod(F.xxhash64("__uid"), F.lit(buckets)))
     by_length = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
