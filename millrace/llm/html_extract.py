@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 #: Elements that begin and end a block of text.
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -274,6 +276,7 @@ def main_text(df: DataFrame, *, source: str = "html", into: str = "text") -> Dat
     whole pages are read, of any length; repeated rows give equal texts; a
     column ``into`` of ``df`` is replaced; no rows give no rows.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("email", "ip", "card", "phone")
 
@@ -232,6 +234,7 @@ def scan(df: DataFrame, *, text: str = "text", into: str = "pii") -> DataFrame:
     any length; repeated rows have equal results; other columns are kept as
     they are, one named ``into`` is replaced; no rows give no rows.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disguised", pa.bool_())])

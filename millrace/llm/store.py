@@ -34,6 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows of a batch between JVM and Python, unless the session says otherwise than Spark's default.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts cross to Python in batches of BATCH_ROWS rows.
+
+    Spark's default of 10,000 is meant for numbers; as many texts take tens of
+    megabytes in every task, several times over.  A session that has set the
+    size itself keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -42,6 +58,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparse import chosen_terms, examples_of, give_back, tidied
+from .store import small_batches
 from .textkernel import slices, terms
 
 #: Labelled rows that the fit draws, about; all of them where there are fewer.
@@ -150,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", row_id="doc_id", lab
     Null labels and ids are left out; of several labels for an id the largest
     holds; labels without a document count for nothing.
     """
+    small_batches(docs.sparkSession)
     known = (
         labels.select(F.col(row_id).alias("__id"), F.col(label).cast("int").alias("__label"))
         .where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & in_training("__id"))
@@ -191,6 +193,7 @@ def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", int
     get equal scores; a column ``into`` of ``df`` is replaced; no rows give no
     rows.  No column but the text is an input.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
     schema = df.select(*keep).schema
     fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], f"`{into}` double"]
