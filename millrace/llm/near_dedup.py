@@ -4,10 +4,11 @@
    set, and a min-wise signature.  Texts of equal sets are one class from here
    on, so a group of copies, however large, is one row.
 2. The signature is cut into trees of DEPTH values: each is a sort order of
-   all classes.  Neighbours in an order that share a prefix of at least
-   FROM_DEPTH values are candidates.  Where more than REGION of them share it,
-   the region goes deeper, value by value; a region that is still crowded at
-   full depth is one candidate group as it is.
+   all classes.  Neighbours in an order that share a prefix of FROM_DEPTH
+   values are candidates.  Where more than REGION of them share it, they form
+   the crowd.  The crowd gets longer signatures and a forest of its own, with
+   as many more trees as full depth needs; a region that is crowded even there
+   is one candidate group as it is.
 3. Within a region signatures are compared, and what may reach the threshold
    (with a margin of about five standard errors) is tied together.  Connected
    ties are candidate clusters.
@@ -20,15 +21,15 @@
    component.
 5. Links are joined to components over the classes.
 
-The number of trees is such that a pair at the threshold shares no prefix of
-FROM_DEPTH values in any order with a chance of one in a million; there is no
-cap on partners.
+The numbers of trees are such that a pair at the threshold is a candidate in
+neither forest with a chance of one in a million at most; there is no cap on
+partners.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ from .store import lookup, stored
 from .textkernel import mix64, slices
 
 DEPTH, FROM_DEPTH = 8, 4
-#: Chance that the orders miss a pair at the threshold.
+#: Chance that the orders of both forests miss a pair at the threshold.
 MISSED = 1e-6
 #: Classes of a region that are compared with each other at once.
 REGION = 512
@@ -54,8 +55,13 @@ HUB_SHINGLES = 300_000
 BROADCAST_IDS = 500_000
 
 
-def trees_for(percent: int) -> int:
-    return max(4, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** FROM_DEPTH)))
+def trees_for(percent: int, depth: int = FROM_DEPTH, missed: float = MISSED) -> int:
+    return max(4, math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** depth)))
+
+
+def crowd_trees_for(percent: int) -> int:
+    """Trees of full depth, by what the first forest leaves of MISSED."""
+    return trees_for(percent, DEPTH, MISSED - (1 - (percent / 100) ** FROM_DEPTH) ** trees_for(percent))
 
 
 def _set_key(own: np.ndarray) -> tuple[int, int]:
@@ -153,32 +159,34 @@ def _label(sig: Column, tree: Column, depth: int) -> Column:
     return F.xxhash64(F.substring(sig, tree * F.lit(2 * DEPTH) + 1, F.lit(2 * depth)))
 
 
-def candidate_ties(classes: DataFrame, functions: int, percent: int) -> DataFrame:
-    """Ties ``a, b`` between nodes of ``classes`` (``node, sig``) that may be linked."""
+def _regions(signed: DataFrame, trees: int, depth: int) -> DataFrame:
+    """``tree, key, node, hub, c`` of ``signed`` (``node, sig``): regions of ``c`` > 1 classes that share ``depth`` values."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    keyed = signed.select("node", every.alias("tree"), "sig").select("tree", "node", _label(F.col("sig"), F.col("tree"), depth).alias("key"))
+    counts = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
+    found = lookup(keyed, stored(counts, "forest-counts"), ["tree", "key"], "c", signed.count() * trees)
+    return stored(found.where("c > 1"), "forest-rows")
+
+
+def candidate_ties(classes: DataFrame, functions: int, percent: int, deeper: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Ties ``a, b`` between nodes of ``classes`` (``node, sig``) that may be linked.
+
+    ``deeper`` gives for a table of nodes their signatures for ``crowd_trees_for`` trees, as ``node, blob``.
+    """
     error = math.sqrt(percent / 100 * (1 - percent / 100) / functions)
     least = max(0.0, percent / 100 - 4.8 * error)
     trees = functions // DEPTH
-    every = F.explode(F.array(*[F.lit(t) for t in range(trees)]))
-    places = classes.select("node", every.alias("tree"), "sig")
-    total = classes.count() * trees
-    ready, crowded = [], []
-    for depth in range(FROM_DEPTH, DEPTH + 1):
-        keyed = places.select("tree", "node", _label("sig", F.col("tree"), depth).alias("key"))
-        counts = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
-        found = stored(lookup(keyed, stored(counts, "forest-counts"), ["tree", "key"], "c", total).where("c > 1"), "forest-rows")
-        ready.append(found.where(F.col("c") <= REGION).select("tree", "key", "node"))
-        full = found.where(F.col("c") > REGION)
-        if depth == DEPTH:
-            crowded.append(full.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-            break
-        total = full.count()
-        if not total:
-            break
-        # Only what is crowded goes a value deeper.
-        places = full.select("tree", "node").join(classes.select("node", "sig"), "node")
-    members = ready[0]
-    for more in ready[1:]:
-        members = members.unionByName(more)
+    found = _regions(classes.select("node", "sig"), trees, FROM_DEPTH)
+    members = found.where(F.col("c") <= REGION).select("tree", "key", "node")
+    crowd = stored(found.where(F.col("c") > REGION).select("node").distinct(), "forest-crowd")
+    hubs = None
+    if not crowd.isEmpty():
+        # A pair that meets in crowded regions only has both its ends in the crowd.
+        signed = stored(deeper(crowd).withColumnRenamed("blob", "sig"), "forest-crowd-signed")
+        found = _regions(signed, crowd_trees_for(percent), DEPTH)
+        members = members.unionByName(found.where(F.col("c") <= REGION).select((F.col("tree") + trees).alias("tree"), "key", "node"))
+        full = found.where((F.col("c") > REGION) & (F.col("node") != F.col("hub")))
+        hubs = full.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     ties = (
         members.join(classes.select("node", "sig"), "node")
         .select("tree", "key", "node", "sig")
@@ -186,9 +194,7 @@ def candidate_ties(classes: DataFrame, functions: int, percent: int) -> DataFram
         .sortWithinPartitions("tree", "key", "sig", "node")
         .mapInArrow(_ties(functions, least), "a long, b long")
     )
-    for more in crowded:
-        ties = ties.unionByName(more)
-    return ties.distinct()
+    return (ties if hubs is None else ties.unionByName(hubs)).distinct()
 
 
 def _linked(sets: list[np.ndarray], nodes: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
@@ -239,13 +245,13 @@ def _confirm(percent: int):
     return run
 
 
-def _texts_of(df: DataFrame, wanted: DataFrame, text: str, row_id: str, size: int) -> DataFrame:
-    """``node, blob``: the whole set of each class in ``wanted`` (``k1, k2, n, id, node``)."""
+def _texts_of(df: DataFrame, wanted: DataFrame, text: str, row_id: str, size: int, functions: int = 0) -> DataFrame:
+    """``node, blob``: the whole set, or signature of ``functions``, of each class in ``wanted`` (``k1, k2, n, id, node``)."""
     few = wanted.count() <= BROADCAST_IDS
     sent = F.broadcast if few else lambda x: x
     ids = sent(wanted.select(F.struct("id").alias("__wanted")).distinct())
     rows = df.select(F.col(row_id), F.col(text)).join(ids, F.col(row_id).eqNullSafe(F.col("__wanted.id")), "left_semi")
-    sets = _signed(rows, text, row_id, size, 0, True)
+    sets = _signed(rows, text, row_id, size, functions, not functions)
     keys = sent(wanted.select("k1", "k2", "n", "node"))
     found = sets.select("k1", "k2", "n", "blob").join(keys, ["k1", "k2", "n"])
     return found.groupBy("node").agg(F.first("blob").alias("blob"))
@@ -281,7 +287,12 @@ def near_duplicates(
         .select(*keys, "least", "copies", "sig", F.col("least.uid").alias("node"), F.col("least.id").alias("id")),
         "near-classes",
     )
-    ties = components(candidate_ties(classes, functions, percent)).select("node", F.col("root").alias("cluster"))
+
+    def deeper(nodes: DataFrame) -> DataFrame:
+        wanted = stored(classes.join(nodes, "node").select("id", "node", *keys), "near-crowd")
+        return _texts_of(df, wanted, text, row_id, size, crowd_trees_for(percent) * DEPTH)
+
+    ties = components(candidate_ties(classes, functions, percent, deeper)).select("node", F.col("root").alias("cluster"))
     member = stored(ties.join(classes.select("node", "id", *keys), "node"), "near-members")
     sums = member.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("m"))
     sums = stored(sums, "near-clusters")

@@ -5,10 +5,14 @@ import random
 import re
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, near_dedup
+from millrace.llm.minhash import MinHash, shingle_sets
+from millrace.llm.textkernel import slices
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 DOCS = "doc_id long, text string, digest int, n int, old string"
@@ -130,3 +134,36 @@ def test_near_crowded_regions_and_wide_clusters(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "HUB_SHINGLES", 150)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     check(spark, corpus(9, families=3, copies=70), 3, 85)
+
+
+def prefixes(hashes, x, y):
+    """How many values of each tree two texts share from its start, one word as a shingle."""
+    sig = [hashes.signature(own) for _, _, offsets, data in slices(pa.array([x, y])) for own in shingle_sets(offsets, data, 1)]
+    return (sig[0] == sig[1]).reshape(-1, near_dedup.DEPTH).cumprod(1).sum(1)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_crowd_that_is_not_linked(spark, monkeypatch, percent):
+    """A pair at the threshold meets in crowded regions only, shares no deep prefix there, and no other row ties it."""
+    monkeypatch.setattr(near_dedup, "REGION", 2)
+    hashes = MinHash(near_dedup.trees_for(percent) * near_dedup.DEPTH)
+    own = {80: 10, 85: 15}[percent]
+    both = own * 2 * percent // (100 - percent)
+    assert 100 * both == percent * (both + 2 * own)
+    names = (f"w{k}" for k in range(10**9))
+
+    def text(common, n):
+        return " ".join([*common, *[next(names) for _ in range(n)]])
+
+    while True:
+        common = [next(names) for _ in range(both)]
+        pair = [text(common, own), text(common, own)]
+        deep = prefixes(hashes, *pair)
+        if near_dedup.FROM_DEPTH <= deep.max() <= near_dedup.FROM_DEPTH + 1:
+            break
+    crowd = []
+    for tree in np.flatnonzero(deep >= near_dedup.FROM_DEPTH):
+        while prefixes(hashes, pair[0], x := text(common, both))[tree] < deep[tree]:
+            pass
+        crowd.append(x)
+    check(spark, list(enumerate([*crowd, *pair])), 1, percent)
