@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from millrace.llm.store import as_files, stored
+from millrace.llm.store import ROW, numbered, stored
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -37,32 +37,31 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _keep(docs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
-    """The rows of ``docs`` (see ``as_files``) but those whose place is not kept in ``found`` (``id, uid, kept``)."""
-    gone = stored(found.where("NOT kept").select(F.col("uid").alias("__uid")), tag)
+    """The rows of ``docs`` (see ``numbered``) but those whose number is not kept in ``found`` (``id, uid, kept``)."""
+    gone = stored(found.where("NOT kept").select(F.col("uid").alias(ROW)), tag)
     few = gone.count() <= BROADCAST_ROWS
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return numbered.join(F.broadcast(gone) if few else gone, "__uid", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, ROW, "left_anti").drop(ROW)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
-    docs = as_files(docs, "pipeline-documents")
-    found = exact_dedup.dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0)
+    docs = numbered(docs, "pipeline-documents")
+    found = exact_dedup.dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0, row=ROW)
     return _keep(docs, found, "pipeline-exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, 80 %) the one with the least doc_id stays."""
-    docs = as_files(docs, "pipeline-documents")
-    found = near_dedup.near_duplicates(docs, size=5, percent=80)
+    docs = numbered(docs, "pipeline-documents")
+    found = near_dedup.near_duplicates(docs, size=5, percent=80, row=ROW)
     return _keep(docs, found, "pipeline-near")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the fitted rates, each once at most; high quality keeps all of its tokens."""
-    docs = as_files(docs, "pipeline-documents")
+    docs = numbered(docs, "pipeline-documents")
     domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
-    found = mixing.mix(docs, _labels(spark, sf_dir), domain, WEIGHTS, keep_first=True, max_rate=1.0)
+    found = mixing.mix(docs, _labels(spark, sf_dir), domain, WEIGHTS, keep_first=True, max_rate=1.0, row=ROW)
     return _keep(docs, found.withColumn("kept", F.col("copies") > 0), "pipeline-mix")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .store import lookup, stored
+from .store import lookup, place, stored
 
 #: Distinct digests in a bucket, about: the most that a filter build or probe holds.
 BUCKET_KEYS = 200_000
@@ -33,12 +33,12 @@ def _text(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def digests(df: DataFrame, text: str, row_id: str, in_snapshot: Column) -> DataFrame:
+def digests(df: DataFrame, text: str, row_id: str, in_snapshot: Column, row: str | None = None) -> DataFrame:
     """``id``, ``digest`` (32 bytes, of the UTF-8 text; null is empty), ``uid`` and ``old`` of each row."""
     return df.select(
         F.col(row_id).alias("id"),
         F.unhex(F.sha2(F.encode(_text(text), "UTF-8"), 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("uid"),
+        place(row).alias("uid"),
         F.coalesce(in_snapshot, F.lit(False)).alias("old"),
     )
 
@@ -113,12 +113,12 @@ def _same_bytes(source: DataFrame, pairs: DataFrame, text: str, row_id: str) ->
 
 
 def dedup(
-    df: DataFrame, in_snapshot: Column, *, text: str = "text", row_id: str = "doc_id"
+    df: DataFrame, in_snapshot: Column, *, text: str = "text", row_id: str = "doc_id", row: str | None = None
 ) -> DataFrame:
     """Groups of equal texts over ``df``, of which rows with ``in_snapshot`` are already indexed.
 
-    Returns a row for each row of ``df``: ``id``, ``uid`` (its place in ``df``),
-    ``digest``, ``keep_id``, ``group_size`` and ``kept``.  Of equal texts the
+    Returns a row for each row of ``df``: ``id``, ``uid`` (the
+    column ``row``, or its place in ``df``), ``digest``, ``keep_id``, ``group_size`` and ``kept``.  Of equal texts the
     row with the largest id stays; exactly one row of a group is kept.
 
     Edge cases: a null text counts as empty; null ids are smaller than all
@@ -126,7 +126,7 @@ def dedup(
     repeat an id tie, and the later one stays; empty tables give no rows;
     other columns of ``df`` play no part, whatever their names.
     """
-    light = stored(digests(df, text, row_id, in_snapshot), "dedup-digests")
+    light = stored(digests(df, text, row_id, in_snapshot, row), "dedup-digests")
     total = light.count()
     snapshot = Snapshot.build(light.where("old"))
     batch = stored(_grouped(light.where("not old")), "dedup-batch")

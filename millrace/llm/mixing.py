@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sparse import chosen_terms, examples_of, give_back, tidied
-from .store import stored
+from .store import place, stored
 from .textkernel import mix64, slices, terms
 
 #: Labelled rows that the classifier is fitted on, at most about.
@@ -284,9 +284,10 @@ def mix(
     max_rate: float | None = None,
     text: str = "text",
     row_id: str = "doc_id",
+    row: str | None = None,
     seed: int = 3,
 ) -> DataFrame:
-    """``id, uid, tokens, posterior, rate, copies`` of every row of ``docs`` (``uid``: its place in ``docs``).
+    """``id, uid, tokens, posterior, rate, copies`` of every row of ``docs`` (``uid``: the column ``row``, or its place in ``docs``).
 
     ``copies`` rounds the rate up or down by a hash of id and place, so that
     its expectation is the rate.
@@ -298,7 +299,7 @@ def mix(
     """
     domains = list(weights)
     model = fit_posterior(docs, labels, domain, domains, text=text, row_id=row_id)
-    rows = docs.select(F.col(row_id).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("__source"))
+    rows = docs.select(F.col(row_id).alias("id"), place(row).alias("uid"), F.col(text).alias("__source"))
     table = stored(posteriors(rows, model, text="__source").drop("__source"), "mix-posteriors")
     rates = fit_rates(table, list(weights.values()), tokens=tokens, keep_first=keep_first, max_rate=max_rate)
     k = len(domains)

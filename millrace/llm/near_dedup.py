@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .minhash import MinHash, shingle_sets
 from .sparse import tidied
-from .store import lookup, stored
+from .store import lookup, place, stored
 from .textkernel import mix64, slices
 
 DEPTH, FROM_DEPTH = 8, 4
@@ -70,7 +70,7 @@ def _set_key(own: np.ndarray) -> tuple[int, int]:
     return a - 2**63, b - 2**63
 
 
-def _signed(df: DataFrame, text: str, row_id: str, size: int, functions: int, sets: bool) -> DataFrame:
+def _signed(df: DataFrame, text: str, row_id: str, size: int, functions: int, sets: bool, row: str | None = None) -> DataFrame:
     """``id, uid, k1, k2, n`` of each text with its signature, or with its whole set of shingles."""
     kind = dict(df.dtypes)[row_id]
 
@@ -94,7 +94,7 @@ def _signed(df: DataFrame, text: str, row_id: str, size: int, functions: int, se
                 )
 
     return df.select(
-        F.col(row_id).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text).cast("string")
+        F.col(row_id).alias("id"), place(row).alias("uid"), F.col(text).cast("string")
     ).mapInArrow(tidied(run), f"id {kind}, uid long, k1 long, k2 long, n long, blob binary")
 
 
@@ -258,11 +258,11 @@ def _texts_of(df: DataFrame, wanted: DataFrame, text: str, row_id: str, size: in
 
 
 def near_duplicates(
-    df: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id"
+    df: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id", row: str | None = None
 ) -> DataFrame:
     """Components of texts whose sets of ``size``-word shingles have a Jaccard similarity of ``percent`` % or more.
 
-    Returns for each row of ``df``: ``id``, ``uid`` (its place in ``df``),
+    Returns for each row of ``df``: ``id``, ``uid`` (the column ``row``, or its place in ``df``),
     ``n_shingles``, ``component_id`` (the least id reachable by links, its own
     included) and ``kept``, true for exactly one row of each component: the
     one with the least id.
@@ -276,7 +276,7 @@ def near_duplicates(
     keep the earlier row; no rows give no rows; other columns play no part.
     """
     functions = trees_for(percent) * DEPTH
-    light = stored(_signed(df, text, row_id, size, functions, False), "near-signed")
+    light = stored(_signed(df, text, row_id, size, functions, False, row), "near-signed")
     total = light.count()
     keys = ["k1", "k2", "n"]
     own = F.struct(F.col("id").isNull().alias("none"), "id", "uid")

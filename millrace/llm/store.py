@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A lookup key with more than 1/HOT_PARTS of all rows is answered by
@@ -68,17 +68,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def as_files(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` if it is a plain read of files, else ``df`` stored.
+#: The column in which ``numbered`` keeps the number of a row.
+ROW = "__row"
 
-    ``monotonically_increasing_id`` gives the rows of a plain read the same
-    numbers in every pass, whatever columns are read, as it numbers them before
-    any filter or join.
+
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` stored with a number for each row in the column ROW.
+
+    ``monotonically_increasing_id`` numbers rows by how the files of a scan are
+    split and packed, which follows the cores there are when it is planned.
+    Where two passes must mean the same rows, the numbers are therefore stored.
     """
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "SubqueryAlias") and plan.deterministic():
-        plan = plan.children().head()
-    return df if plan.nodeName() in ("LogicalRelation", "Relation") or plan.nodeName().startswith("Relation") else stored(df, tag)
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), tag)
+
+
+def place(row: str | None) -> Column:
+    """The number of a row: the column ``row`` or, if none is named, its place in this pass."""
+    return F.monotonically_increasing_id() if row is None else F.col(row)
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:

@@ -59,6 +59,28 @@ def test_stages_take_tables_that_are_no_plain_reads(spark):
     assert corpus_pipeline.exact(spark, docs, FOLDER).count() == docs.select("text").distinct().count()
 
 
+def test_dropped_rows_do_not_depend_on_how_a_scan_is_split(spark, monkeypatch, tmp_path):
+    """The table is packed into other partitions between the pass that finds rows and the one that drops them."""
+    key = "spark.sql.files.minPartitionNum"
+    rows = [(k, f"text {k % 40}", None, None) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(12)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    dedup = corpus_pipeline.exact_dedup.dedup
+
+    def repacked(*args, **options):
+        found = stored(dedup(*args, **options), "test-found")
+        spark.conf.set(key, "1")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline.exact_dedup, "dedup", repacked)
+    try:
+        got = corpus_pipeline.exact(spark, docs, FOLDER).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.doc_id for r in got) == list(range(80, 120))
+
+
 def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
