@@ -3,23 +3,29 @@
 1. Each text becomes its set of hashed word shingles, a 128-bit key of the
    set, and a min-wise signature.  Texts of equal sets are one class from here
    on, so a group of copies, however large, is one row.
-2. The signature is cut into trees of DEPTH values: each is a sort order of
-   all classes.  Neighbours in an order that share a prefix of FROM_DEPTH
-   values are candidates.  Where more than REGION of them share it, they form
-   the crowd.  The crowd gets longer signatures and a forest of its own, with
-   as many more trees as full depth needs; a region that is crowded even there
-   is one candidate group as it is.
-3. Within a region signatures are compared, and what may reach the threshold
-   (with a margin of about five standard errors) is tied together.  Connected
-   ties are candidate clusters.
-4. Clusters are confirmed on full sets.  A small cluster is compared whole, by
+2. The signature is cut into trees of DEPTH values, and all classes are sorted
+   by each of them.  A walk along an order takes the longest common prefix of
+   every two neighbours; a run of neighbours that all share FROM_DEPTH values
+   or more is a region, whose members are candidates of each other.  Runs that
+   cross the partitions of the sort are joined by their prefix.
+3. The depth adapts to the region.  Where more than REGION classes share
+   FROM_DEPTH values they form the crowd and go on at full DEPTH.  First each
+   is held against the leader of its region, by signature, which unites most
+   of a family of copies; then the crowd gets longer signatures and a forest
+   of its own, with as many more trees as full depth needs.  In this forest a
+   run whose members are united already is closed and costs nothing more; one
+   that is crowded even there is one candidate group as it is.
+4. Within an open region signatures are compared, and what may reach the
+   threshold (with a margin of about five standard errors) is tied together.
+   Connected ties are candidate clusters.
+5. Clusters are confirmed on full sets.  A small cluster is compared whole, by
    an inverted index in one task together with other small ones.  A large one
    is cut into blocks that share some hub texts; then all that the hubs did
    not bring into its largest component is compared with the whole cluster,
    block by block.  Every pair of a cluster in which some link might still be
    missing is so compared, yet only found links leave a task, a star for each
    component.
-5. Links are joined to components over the classes.
+6. Links are joined to components over the classes.
 
 The numbers of trees are such that a pair at the threshold is a candidate in
 neither forest with a chance of one in a million at most; there is no cap on
@@ -34,13 +40,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import MinHash, shingle_sets
 from .sparse import tidied
-from .store import lookup, place, stored
+from .store import lookup, place, stored, union_all
 from .textkernel import mix64, slices
 
 DEPTH, FROM_DEPTH = 8, 4
@@ -154,18 +161,106 @@ def _ties(functions: int, least: float):
     return run
 
 
-def _label(sig: Column, tree: Column, depth: int) -> Column:
-    """The first ``depth`` values of a tree's part of the signature, as one long."""
-    return F.xxhash64(F.substring(sig, tree * F.lit(2 * DEPTH) + 1, F.lit(2 * depth)))
+def _walk(depth: int):
+    """From rows ``tree, label, node, mark`` in order: the members of regions, as ``_regions`` describes them.
+
+    Rows of the first and last run of a partition are marked ``edge`` and come
+    whole, as the run may go on in the next partition.
+    """
+
+    def members(rows: pa.Table, begins: bool, ends: bool) -> pa.RecordBatch:
+        tree, node, mark = (rows[c].to_numpy() for c in ("tree", "node", "mark"))
+        start = np.flatnonzero(np.r_[True, _lcp(tree, _values(rows["label"])) < depth])
+        size = np.diff(start, append=len(tree))
+        least, most, hub = np.minimum.reduceat(mark, start), np.maximum.reduceat(mark, start), np.minimum.reduceat(node, start)
+        edge = np.zeros(len(start), bool)
+        edge[:1] |= begins
+        edge[-1:] |= ends
+        of = np.repeat(np.arange(len(start)), size)
+        kept = np.flatnonzero(((least != most) | edge)[of])
+        of = of[kept]
+        key = pc.binary_slice(rows["label"].take(pa.array(kept)).combine_chunks(), 0, 2 * depth)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tree[kept]), key, *[pa.array(x) for x in (node[kept], hub[of], size[of], least[of], most[of], edge[of])]],
+            ["tree", "key", "node", "hub", "c", "least", "most", "edge"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one run, so far
+        begins = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+            cut = np.flatnonzero(_lcp(near["tree"].to_numpy(), _values(near["label"])) < depth) + (0 if held else 1)
+            if len(cut):
+                last = int(cut[-1])
+                yield members(pa.Table.from_batches([*held, batch.slice(0, last)]), begins, False)
+                begins, held = False, [batch.slice(last)]
+            else:
+                held.append(batch)
+        if held:
+            yield members(pa.Table.from_batches(held), begins, True)
+
+    return run
+
+
+def _values(labels: pa.ChunkedArray) -> np.ndarray:
+    """The values of labels of DEPTH each, a row for each label."""
+    parts = [np.zeros((0, DEPTH), np.uint16)]
+    for chunk in labels.chunks:
+        if len(chunk):
+            at = int(np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset])
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint16, DEPTH * len(chunk), at).reshape(-1, DEPTH))
+    return np.concatenate(parts)
+
+
+def _lcp(tree: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many first values each row but the first shares with the row before it; 0 at the start of a tree."""
+    shared = np.cumprod(values[1:] == values[:-1], axis=1).sum(1)
+    return np.where(tree[1:] == tree[:-1], shared, 0)
 
 
 def _regions(signed: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``tree, key, node, hub, c`` of ``signed`` (``node, sig``): regions of ``c`` > 1 classes that share ``depth`` values."""
+    """``tree, key, node, hub, c`` of ``signed`` (``node, sig, mark``): who is in a region of ``depth`` values.
+
+    A region is a run of a tree's sort order in which neighbours have a common
+    prefix of ``depth`` values or more, here of ``c`` classes, if these do not
+    all have the same ``mark``; ``hub`` is one of them, the same for all (of a
+    run's part in a partition, where it crosses several).
+    """
     every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    keyed = signed.select("node", every.alias("tree"), "sig").select("tree", "node", _label(F.col("sig"), F.col("tree"), depth).alias("key"))
-    counts = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
-    found = lookup(keyed, stored(counts, "forest-counts"), ["tree", "key"], "c", signed.count() * trees)
-    return stored(found.where("c > 1"), "forest-rows")
+    label = F.substring("sig", F.col("tree") * F.lit(2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    order = ["tree", "label", "node"]
+    found = stored(
+        signed.select("node", "sig", "mark", every.alias("tree"))
+        .select("tree", label.alias("label"), "node", "mark")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(tidied(_walk(depth)), "tree int, key binary, node long, hub long, c long, least long, most long, edge boolean"),
+        "forest-rows",
+    )
+    inner = found.where("NOT edge")
+    edges = found.where("edge")
+    # The parts of a run in several partitions are one region.
+    whole = edges.groupBy("tree", "key").agg(
+        F.count(F.lit(1)).alias("all"), F.min("least").alias("low"), F.max("most").alias("high")
+    )
+    joined = lookup(edges.select("tree", "key", "node", "hub"), stored(whole, "forest-edges"), ["tree", "key"], "all", edges.count())
+    columns = ["tree", "key", "node", "hub"]
+    return inner.select(*columns, "c").unionByName(joined.where("low <> high").select(*columns, F.col("all").alias("c")))
+
+
+def _alike(functions: int, least: float):
+    """Of rows ``a, b, left, right`` (two signatures): those pairs ``a, b`` whose signatures agree enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, functions) for k in (2, 3))
+            near = pa.array((left == right).sum(1) >= least * functions)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def candidate_ties(classes: DataFrame, functions: int, percent: int, deeper: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -176,59 +271,116 @@ def candidate_ties(classes: DataFrame, functions: int, percent: int, deeper: Cal
     error = math.sqrt(percent / 100 * (1 - percent / 100) / functions)
     least = max(0.0, percent / 100 - 4.8 * error)
     trees = functions // DEPTH
-    found = _regions(classes.select("node", "sig"), trees, FROM_DEPTH)
-    members = found.where(F.col("c") <= REGION).select("tree", "key", "node")
-    crowd = stored(found.where(F.col("c") > REGION).select("node").distinct(), "forest-crowd")
-    hubs = None
+    own = classes.select("node", "sig")
+    found = _regions(own.withColumn("mark", F.col("node")), trees, FROM_DEPTH)
+    members = found.where(F.col("c") <= REGION).select("tree", F.xxhash64("key").alias("key"), "node")
+    crowded = found.where(F.col("c") > REGION)
+    crowd = stored(crowded.select("node").distinct(), "forest-crowd")
+    more = []
     if not crowd.isEmpty():
+        # Each against the leader of its region; in most trees a family has the same one.
+        pairs = crowded.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        left, right = (own.select(F.col("node").alias(k), F.col("sig").alias(to)) for k, to in (("a", "left"), ("b", "right")))
+        star = stored(
+            pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_alike(functions, least), "a long, b long"),
+            "forest-stars",
+        )
+        united = components(star).select("node", F.col("root").alias("mark"))
         # A pair that meets in crowded regions only has both its ends in the crowd.
-        signed = stored(deeper(crowd).withColumnRenamed("blob", "sig"), "forest-crowd-signed")
-        found = _regions(signed, crowd_trees_for(percent), DEPTH)
-        members = members.unionByName(found.where(F.col("c") <= REGION).select((F.col("tree") + trees).alias("tree"), "key", "node"))
+        signed = deeper(crowd).withColumnRenamed("blob", "sig").join(united, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
+        found = _regions(stored(signed, "forest-crowd-signed"), crowd_trees_for(percent), DEPTH)
+        members = members.unionByName(found.where(F.col("c") <= REGION).select((F.col("tree") + trees).alias("tree"), F.xxhash64("key").alias("key"), "node"))
         full = found.where((F.col("c") > REGION) & (F.col("node") != F.col("hub")))
-        hubs = full.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        # The parts that a run has in several partitions have hubs of their own, tied to the least of them.
+        hubs = found.where(F.col("c") > REGION).select("tree", "key", "hub").distinct()
+        first = hubs.groupBy("tree", "key").agg(F.min("hub").alias("b"))
+        more = [
+            star,
+            full.select(F.col("node").alias("a"), F.col("hub").alias("b")),
+            hubs.join(first, ["tree", "key"]).where("hub <> b").select(F.col("hub").alias("a"), "b"),
+        ]
     ties = (
-        members.join(classes.select("node", "sig"), "node")
+        members.join(own, "node")
         .select("tree", "key", "node", "sig")
         .repartition("tree", "key")
-        .sortWithinPartitions("tree", "key", "sig", "node")
-        .mapInArrow(_ties(functions, least), "a long, b long")
+        .sortWithinPartitions("tree", "key", "node")
+        .mapInArrow(tidied(_ties(functions, least)), "a long, b long")
     )
-    return (ties if hubs is None else ties.unionByName(hubs)).distinct()
+    return union_all([ties, *more]).distinct()
+
+
+#: Sets of a task that are compared with all others at once, to unite what is alike before anything is searched.
+HUBS = 16
 
 
 def _linked(sets: list[np.ndarray], nodes: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Index of the root of each set, by all links that have a set of ``first`` at one end or more."""
+    """Index of the root of each set, by all links that have a set of ``first`` at one end or more.
+
+    A few sets are compared with all.  What they do not bring into the largest
+    component is searched for by prefixes: of two linked sets, each holds some
+    of the other's rarest terms, among as many as the threshold leaves room
+    for.  Links inside one component need no search, as only components count.
+    """
+    n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, term = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(term, kind="stable")
-    posting, start = owner[order], np.searchsorted(term[order], np.arange(term.max() + 2))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    parent = np.arange(len(sets))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    # Terms are named by rarity, and each set has its rarest first.
+    often = np.bincount(term)
+    name = np.empty(len(often), np.int64)
+    name[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(np.arange(n), sizes)
+    term = name[term]
+    term = term[np.lexsort((term, owner))]
+    order = np.argsort(term, kind="stable")
+    label = np.arange(n)
+    held = {k: [k] for k in range(n)}  # the sets of a label
+    mask = np.zeros(len(often), bool)
 
-    for k in np.flatnonzero(first):
+    def links(k: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that are linked with set ``k``."""
         own = term[bounds[k] : bounds[k + 1]]
+        mask[own] = True
+        spans = sizes[others]
+        ends = np.cumsum(spans)
+        hit = mask[term[np.repeat(bounds[others] - ends + spans, spans) + np.arange(ends[-1] if len(ends) else 0)]]
+        mask[own] = False
+        common = np.add.reduceat(hit, ends - spans, dtype=np.int64) if len(ends) else np.zeros(0, np.int64)
+        return others[100 * common >= percent * (spans + sizes[k] - common)]
+
+    def unite(k: int, linked: np.ndarray) -> None:
+        roots = sorted({int(label[k]), *label[linked].tolist()}, key=lambda r: len(held[r]))
+        for r in roots[:-1]:
+            own = held.pop(r)
+            label[own] = roots[-1]
+            held[roots[-1]] += own
+
+    everyone, main, open_ = np.arange(n), -1, first.copy()
+    for _ in range(HUBS if n > 2 * HUBS else 0):
+        rest = np.flatnonzero(open_ & (label != main))
+        if not len(rest):
+            break
+        open_[rest[0]] = False
+        unite(rest[0], links(rest[0], everyone))
+        main = int(np.bincount(label).argmax())
+    # The index of prefixes; a term's owners are those that have it among their rarest.
+    within = np.arange(len(term)) - bounds[owner]
+    early = within < (sizes - -(-percent * sizes // 100) + 1)[owner]
+    order = order[early[order]]
+    posting, start = owner[order], np.searchsorted(term[order], np.arange(len(often) + 1))
+    for k in np.flatnonzero(label != main):
+        own = term[bounds[k] : bounds[k] + sizes[k] - -(-percent * sizes[k] // 100) + 1]
         spans = start[own + 1] - start[own]
         ends = np.cumsum(spans)
-        hits = posting[np.repeat(start[own] - ends + spans, spans) + np.arange(ends[-1])]
-        common = np.bincount(hits, minlength=len(sets))
-        linked = np.flatnonzero(100 * common >= percent * (sizes + sizes[k] - common))
-        for x in linked:
-            a, b = root(k), root(x)
-            if a != b:
-                if nodes[a] < nodes[b]:
-                    parent[b] = a
-                else:
-                    parent[a] = b
-    return np.array([root(k) for k in range(len(sets))])
+        met = np.unique(posting[np.repeat(start[own] - ends + spans, spans) + np.arange(ends[-1])])
+        met = met[label[met] != label[k]]
+        met = met if first[k] else met[first[met]]
+        if len(met):
+            unite(k, links(k, met))
+    least = np.full(n, -1)
+    by = np.argsort(nodes, kind="stable")[::-1]
+    least[label[by]] = by  # the last one written is the least node
+    return least[label]
 
 
 def _confirm(percent: int):

@@ -167,3 +167,59 @@ def test_near_crowd_that_is_not_linked(spark, monkeypatch, percent):
             pass
         crowd.append(x)
     check(spark, list(enumerate([*crowd, *pair])), 1, percent)
+
+
+@pytest.mark.parametrize("family", [5, 90])
+def test_links_by_hubs_and_prefixes_equal_all_links(family):
+    """With more sets than hubs, and some whose links count only towards the first ones."""
+    rng = np.random.default_rng(family)
+    base = [rng.integers(0, 10**6, 60) for _ in range(180 // family)]
+    sets = []
+    for b in base:
+        for _ in range(family):
+            own = b.copy()
+            own[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 10**6)
+            sets.append(np.unique(own).astype(np.uint64))
+    nodes = rng.permutation(len(sets)) * 10
+    for first in (np.ones(len(sets), bool), rng.random(len(sets)) < 0.3):
+        parent = list(range(len(sets)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                common = len(np.intersect1d(x, y))
+                if (first[i] or first[j]) and 100 * common >= 85 * (len(x) + len(y) - common):
+                    a, b = sorted((root(i), root(j)), key=lambda k: nodes[k])
+                    parent[b] = a
+        assert near_dedup._linked(sets, nodes, first, 85).tolist() == [root(k) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_regions_are_the_runs_of_common_prefixes(spark, partitions):
+    """Whatever the sort's partitions cut apart: every group of equal prefixes with several marks, whole."""
+    rng = np.random.default_rng(1)
+    depth, trees = near_dedup.FROM_DEPTH, 2
+    sig = rng.integers(0, 2, (300, trees * near_dedup.DEPTH)).astype(np.uint16)
+    mark = rng.integers(0, 3, 300)
+    rows = [(k, bytearray(sig[k].tobytes()), int(mark[k])) for k in range(300)]
+    groups = {}
+    for k in range(300):
+        for t in range(trees):
+            at = t * near_dedup.DEPTH
+            groups.setdefault((t, sig[k, at : at + depth].tobytes()), []).append(k)
+    expected = {(t, k): len(g) for (t, _), g in groups.items() if len({mark[k] for k in g}) > 1 for k in g}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = near_dedup._regions(spark.createDataFrame(rows, "node long, sig binary, mark long"), trees, depth).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.tree, r.node): r.c for r in found} == expected
+    assert len(found) == len(expected)
+    assert all(r.hub in groups[r.tree, bytes(r.key)] for r in found)
