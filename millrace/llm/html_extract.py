@@ -9,12 +9,17 @@ its text that is link text.  The best container, raised to the article around
 it if there is one, and those of its siblings that look like parts of the same
 text are kept.
 
-Parsing and scoring are linear in the page and do not recurse, so broken and
-very deep pages are read like any others.
+Siblings are looked at beside an article as well, so that a text that is
+spread over several articles, or begins in front of one, comes whole.  Parsing
+and scoring do not recurse and go over the page a bounded number of times, so
+broken and very deep pages are read like any others: an end tag that was once
+searched for in vain is not searched for again, and after one odd quote tags
+end at the first ``>``.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import renamed, small_batches, with_fields
 
 #: Elements that begin and end a block of text.
 _BLOCK = frozenset(
@@ -48,66 +53,104 @@ _CLOSES = {
 }
 #: Words in class, id or role that speak against an article.
 _AGAINST = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
+    r"(?i)(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
     r"|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|masthead|site-header|page-header|header"
     r"|footer|comments?|commentlist|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*"
-    r"|signup|login|search|widget|complementary|contentinfo|dialog)(?:$|[\s_-])"
+    r"|signup|login|search|widget|complementary|contentinfo|dialog)(?=$|[\s_-])"
 )
+#: Of these words those that name parts of a layout; a wrapper around the whole page may carry them too.
+_LAYOUT = re.compile(
+    r"(?i)^(?:banner|notice|alert|overlay|modal|sidebar|side-bar|menu|nav|navbar|navigation|toolbar|masthead|site-header|page-header"
+    r"|header|footer|search|widget|share|sharing|social)$"
+)
+#: Beginnings of class names that say what a layout has or lacks.
+_MODIFIES = re.compile(r"(?i)^(?:no|has|with|without|hide|show|is|not)[-_]")
 #: Words in class or id that speak for an article.
 _FOR = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|body|content|entry|main|page|post|text|blog|story|column)(?:$|[\s_-])")
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'){0,4000}+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S,
 )
+#: A tag in a page with an odd quote somewhere: quotes are not looked at.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 _COMMAS = re.compile("[,،﹐︐⹁、，]")
 
 #: Blocks of fewer characters pass no points.
 _LEAST = 25
+#: Characters that a part of the layout needs to be taken for a wrapper.
+_WRAPPER = 200
 #: Levels of ancestors that points reach.
 _LEVELS = 5
 
 
+def _against(value: str) -> list[str]:
+    """The words of a class, id or role that speak against an article, but those that say what a layout has or lacks."""
+    return [m[1] for name in value.split() if not _MODIFIES.match(name) for m in _AGAINST.finditer(name)]
+
+
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*+>")
+
+
 class _Page:
     """Elements in page order (``tag, parent, aside, bonus``) and blocks ``(element, text, characters in links)``."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.aside, self.bonus = ["#root"], [-1], [False], [0.0]
+        self.tag, self.parent, self.bonus = ["#root"], [-1], [0.0]
+        #: Why an element itself is no part of an article: not at all (0), as a part of the layout by its class (1), else (2).
+        self.why = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
+        self.aside = self._put_aside()
 
-    def _open(self, tag: str, parent: int, attributes: str) -> int:
-        aside, bonus = self.aside[parent] or tag in _ASIDE, 0.0
+    def _open(self, tag: str, parent: int, attributes: str, in_article: bool) -> int:
+        why, bonus = 2 * (tag in _ASIDE), 0.0
         inside = tag in ("article", "main", "body", "html")
-        if tag == "header" and not aside:
-            aside = not self._within(parent, "article")
-        if attributes and not aside:
+        if tag == "header" and not in_article:
+            why = 2
+        if attributes:
             for m in _NAMED.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden" or name == "aria-hidden" and value == "true":
-                    aside = True
+                    why = 2
                 elif name == "style":
-                    aside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-                elif _AGAINST.search(value) and (not inside or re.search(r"(?i)comment|repl|ad(?:$|[\s_-])|promo|sponsor", value) and tag == "article"):
-                    aside = True
+                    why = 2 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else why
+                elif (against := _against(value)) and (not inside or re.search(r"(?i)comment|repl|ad(?:$|[\s_-])|promo|sponsor", value) and tag == "article"):
+                    why = max(why, 1 if name != "role" and all(map(_LAYOUT.match, against)) else 2)
                 elif name != "role" and _FOR.search(value):
                     bonus = 25.0
                 elif name == "role" and value in ("main", "article"):
                     bonus = 25.0
         self.tag.append(tag)
         self.parent.append(parent)
-        self.aside.append(aside)
+        self.why.append(why)
         self.bonus.append(bonus + {"article": 30.0, "main": 20.0, "div": 5.0, "section": 5.0}.get(tag, 0.0))
         return len(self.tag) - 1
 
-    def _within(self, node: int, tag: str) -> bool:
-        while node >= 0:
-            if self.tag[node] == tag:
-                return True
-            node = self.parent[node]
-        return False
+    def _put_aside(self) -> list[bool]:
+        """Which elements are aside; a part of the layout that holds nearly all there is wraps the page instead."""
+        n = len(self.tag)
+
+        def below(least: int, why: list[int]) -> list[bool]:
+            out = [False] * n
+            for k in range(1, n):
+                out[k] = out[self.parent[k]] or why[k] >= least
+            return out
+
+        aside = below(1, self.why)
+        if 1 not in self.why:
+            return aside
+        never = below(2, self.why)
+        kept = sum(len(text) for node, text, _ in self.blocks if not aside[node])
+        held = [0] * n
+        for node, text, _ in self.blocks:
+            held[node] += 0 if never[node] else len(text)
+        for k in range(n - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        return below(1, [0 if w == 1 and held[k] > max(5 * kept, _WRAPPER) else w for k, w in enumerate(self.why)])
 
     def _read(self, source: str) -> None:
         stack, open_tags = [0], {"#root": 1}
@@ -119,7 +162,7 @@ class _Page:
 
         def end_block() -> None:
             if parts:
-                text = _SPACE.sub(" ", "".join(parts)).strip()
+                text = " ".join("".join(parts).split())
                 if text:
                     self.blocks.append((block, text, min(linked[0], len(text))))
                 parts.clear()
@@ -144,14 +187,29 @@ class _Page:
                 if links:
                     linked[0] += len(text.strip())
 
-        at, n = 0, len(source)
+        at, n, odd = 0, len(source), False
+        begun = 0  # where the text that is not yet taken begins
+        unclosed: set[str] = set()  # raw elements that no end tag follows any more
         while at < n:
-            m = _TAG.search(source, at)
-            if not m:
-                take(source[at:])
+            at = source.find("<", at)
+            if at < 0:
                 break
-            take(source[at : m.start()])
-            at = m.end()
+            name = source[at + 2 : at + 3] if source[at + 1 : at + 2] == "/" else source[at + 1 : at + 2]
+            named = name.isascii() and name.isalpha()
+            m = None if odd and named else _TAG.match(source, at)
+            if not m and named:
+                # An odd quote, or a tag without an end: what follows is read without regard to quotes.
+                odd = True
+                m = _LOOSE.match(source, at)
+                if not m:
+                    take(source[begun:at])
+                    begun = n
+                    break
+            if not m:
+                at += 1
+                continue
+            take(source[begun:at])
+            at = begun = m.end()
             if m[2] is None:
                 continue
             tag = m[2].lower()
@@ -172,11 +230,14 @@ class _Page:
                     end_block()
                 continue
             if tag in _RAW:
-                close = re.compile(f"(?i)</{re.escape(tag)}\\b[^>]*>").search(source, at) if not m[3].endswith("/") else None
+                if m[3].endswith("/") or tag in unclosed:
+                    continue
+                close = _end_of(tag).search(source, at)
                 if close:
-                    at = close.end()
-                elif not m[3].endswith("/"):
-                    at = n if tag in ("script", "style", "title", "textarea") else at
+                    at = begun = close.end()
+                else:
+                    unclosed.add(tag)
+                    at = begun = n if tag in ("script", "style", "title", "textarea") else at
                 continue
             if tag == "br":
                 parts.append(" ")
@@ -204,7 +265,7 @@ class _Page:
                 if tag == "hr":
                     end_block()
                 continue
-            node = self._open(tag, stack[-1], m[3])
+            node = self._open(tag, stack[-1], m[3], open_tags.get("article", 0) > 0)
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
             if tag in _BLOCK:
@@ -212,6 +273,7 @@ class _Page:
                 block = node
             elif tag == "a":
                 links += 1
+        take(source[begun:])
         end_block()
 
 
@@ -251,20 +313,22 @@ def extract(source: str) -> str:
             best = up
             break
         up = page.parent[up]
-    kept = {best}
-    if page.tag[best] not in ("article", "main", "body", "html", "#root"):
+    kept, loose = {best}, True
+    if page.tag[best] not in ("body", "html", "#root"):
         level = max(10.0, 0.2 * value(best))
+        # What stands beside an article in the body itself is part of the page rather than of the text.
+        loose = page.tag[best] not in ("article", "main") or page.tag[page.parent[best]] not in ("body", "html", "#root")
         for k in range(1, n):
             if page.parent[k] != page.parent[best] or page.aside[k] or not length[k]:
                 continue
             density = linked[k] / length[k]
-            if value(k) >= level or page.tag[k] in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol") and density < 0.25:
+            if value(k) >= level or loose and page.tag[k] in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol") and density < 0.25:
                 kept.add(k)
     inside = [False] * n
     for k in range(n):
         inside[k] = k in kept or k > 0 and inside[page.parent[k]]
     # Text that stands free beside kept siblings, directly in their parent.
-    free = page.parent[best] if len(kept) > 1 else -1
+    free = page.parent[best] if len(kept) > 1 and loose else -1
     return "\n".join(text for node, text, link in blocks if inside[node] or node == free and 4 * link < len(text))
 
 
@@ -273,19 +337,20 @@ def main_text(df: DataFrame, *, source: str = "html", into: str = "text") -> Dat
 
     Edge cases: null or empty pages give empty text; pages of text without
     tags give that text; unclosed or crossed tags are closed as HTML allows;
+    a last tag that never ends is no text; any Unicode white space counts;
     whole pages are read, of any length; repeated rows give equal texts; a
     column ``into`` of ``df`` is replaced; no rows give no rows.
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    schema = with_fields(df, keep, **{into: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, into])
 
-    return df.select(*keep, F.col(source).cast("string").alias("__html")).mapInArrow(run, f"{fields}, `{into}` string")
+    return df.select(*renamed(keep), F.col(source).cast("string").alias("html")).mapInArrow(run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A lookup key with more than 1/HOT_PARTS of all rows is answered by
 #: broadcast, so at most HOT_PARTS rows are ever broadcast.
@@ -72,14 +73,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 ROW = "__row"
 
 
-def numbered(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` stored with a number for each row in the column ROW.
+def numbered(df: DataFrame, tag: str, row: str = ROW) -> DataFrame:
+    """``df`` stored with a number for each row in the column ``row``.
 
     ``monotonically_increasing_id`` numbers rows by how the files of a scan are
     split and packed, which follows the cores there are when it is planned.
     Where two passes must mean the same rows, the numbers are therefore stored.
     """
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), tag)
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), tag)
 
 
 def place(row: str | None) -> Column:
@@ -110,5 +111,35 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     return first.unionByName(rest.select(*rows.columns, *values))
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [F.col(name) for name in escaped(names)]
+
+
+def escaped(names: list[str]) -> list[str]:
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def renamed(names: list[str]) -> list[Column]:
+    """The columns of these names as ``c0, c1, ...``: ``mapInArrow`` takes no name with a dot, and none of these clashes."""
+    return [c.alias(f"c{k}") for k, c in enumerate(quoted(names))]
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def with_fields(df: DataFrame, names: list[str], **added: str) -> T.StructType:
+    """The schema of the columns ``names`` of ``df``, then those of ``added`` (name and type)."""
+    out = T.StructType(df.select(*quoted(names)).schema.fields)
+    for name, kind in added.items():
+        out = out.add(name, T.DataType.fromDDL(kind))
+    return out
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
