@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import lookup, stored
+from .store import free_name, lookup, quoted, stored
 
 #: The largest cascade that is sent to tasks.
 BROADCAST_BYTES = 64 << 20
@@ -112,7 +112,12 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
     n = rules.count()
     if n > CASCADE_RULES:
         return None
-    pick = lambda df: np.array([tuple(r) for r in df.select(*_pair(F.col("key"))).collect()], np.int64).astype(np.uint64).reshape(-1, 2)
+
+    def pick(df: DataFrame) -> np.ndarray:
+        a, b = _pair(F.col("key"))
+        found = df.select(a.alias("a"), b.alias("b")).toArrow()
+        return np.stack([found[c].to_numpy() for c in ("a", "b")], 1).astype(np.int64).view(np.uint64)
+
     own = pick(rules)
     size = universe.select(F.explode("keys").alias("key")).agg(F.approx_count_distinct("key", 0.05)).first()[0] or 1
     rate = min(0.5, max(n, 1) / (math.sqrt(2) * max(size - n, 1)))
@@ -173,12 +178,15 @@ def judge(df: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "
 
     Edge cases: a null url, or one without ``://``, has empty host and path,
     so no rule fits; rules with null host or verdict are left out, a null path
-    is empty; a rule listed with both verdicts blocks; repeated rows are judged
+    is empty; a rule that no url can fit (a host with ``/ ? #``, a path that is
+    neither empty nor begins with ``/``) fits none; a rule listed with both
+    verdicts blocks; repeated rows are judged
     alike; columns of these names in ``df`` are replaced, others kept; empty
     tables give no rows, and no rules give ``default`` throughout.
     """
     known = stored(
-        rules.where("host IS NOT NULL AND verdict IS NOT NULL")
+        # A host holds no slash and a path begins with one, so a key says where its host ends.
+        rules.where("host IS NOT NULL AND verdict IS NOT NULL AND host NOT RLIKE '[/?#]' AND coalesce(path, '') RLIKE '^(/|$)'")
         .select(F.concat("host", F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), "verdict")
         .groupBy("key", "n")
         .agg(F.max(F.col("verdict") == "block").alias("blocks")),
@@ -186,49 +194,51 @@ def judge(df: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "
     )
     lengths = sorted(r[0] for r in known.select("n").distinct().collect())
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    hosted = df.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    hosted = df.select(*quoted(keep), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not lengths:
-        return hosted.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = hosted.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
-    universe = keyed.select("keys")
-    listed, blocked = build(known, universe), build(known.where("blocks"), universe)
+        return hosted.select(*quoted(keep), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keys, hit, top = (free_name(hosted.columns, x) for x in ("__keys", "__hit", "__best"))
+    keyed = hosted.withColumn(keys, keys_of(F.col("host"), F.col("path"), lengths))
+    listed = build(known, keyed.select(F.col(keys).alias("keys")))
+    # Only listed keys are asked whether they block, so these are that cascade's universe.
+    blocked = build(known.where("blocks"), known.select(F.array("key").alias("keys")))
     if listed is None or blocked is None or listed.size + blocked.size > BROADCAST_BYTES:
-        return _joined(keyed, known, keep, default)
+        return _joined(keyed, known, keep, default, keys)
 
     def test(h: np.ndarray) -> np.ndarray:
         a = listed.has(h)
         return a.astype(np.int8) + (a & blocked.has(h))
 
-    flagged = keyed.withColumn("__hit", _tested(test, _hashes("keys")))
-    fits = F.filter(F.arrays_zip("keys", "__hit"), lambda z: z["__hit"] > 0)
-    best = F.array_max(
-        F.transform(
-            fits, lambda z: F.struct(F.length(z["keys"]).alias("n"), z["keys"].alias("key"), z["__hit"].alias("hit"))
-        )
+    flagged = keyed.withColumn(hit, _tested(test, _hashes(keys)))
+    zipped = F.transform(
+        F.arrays_zip(F.col(keys).alias("key"), F.col(hit).alias("hit")),
+        lambda z: F.struct(F.length(z["key"]).alias("n"), z["key"].alias("key"), z["hit"].alias("hit")),
     )
-    return flagged.withColumn("__best", best).select(
-        *keep,
+    best = F.array_max(F.filter(zipped, lambda z: z["hit"] > 0))
+    return flagged.withColumn(top, best).select(
+        *quoted(keep),
         "host",
         "path",
-        F.col("__best.key").alias("rule"),
-        F.when(F.col("__best.hit") == 2, "block").when(F.col("__best.hit") == 1, "allow").otherwise(default).alias("verdict"),
+        F.col(top)["key"].alias("rule"),
+        F.when(F.col(top)["hit"] == 2, "block").when(F.col(top)["hit"] == 1, "allow").otherwise(default).alias("verdict"),
     )
 
 
-def _joined(keyed: DataFrame, known: DataFrame, keep: list[str], default: str) -> DataFrame:
+def _joined(keyed: DataFrame, known: DataFrame, keep: list[str], default: str, held: str) -> DataFrame:
     """The same verdicts by a skew-safe lookup of keys, for rules too many for a cascade."""
-    rows = stored(keyed.withColumn("__row", F.monotonically_increasing_id()), "url-rows")
-    keys = rows.select("__row", F.explode("keys").alias("key"))
+    row, top = (free_name(keyed.columns, x) for x in ("__row", "__best"))
+    rows = stored(keyed.withColumn(row, F.monotonically_increasing_id()), "url-rows")
+    keys = rows.select(F.col(row).alias("row"), F.explode(held).alias("key"))
     weights = keys.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
     table = stored(known.join(weights, "key").select("key", "blocks", "w"), "url-keys")
     hits = lookup(keys, table, ["key"], "w", keys.count()).where("blocks IS NOT NULL")
-    best = hits.groupBy("__row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "blocks")).alias("best"))
-    return rows.join(best, "__row", "left").select(
-        *keep,
+    best = hits.groupBy(F.col("row").alias(row)).agg(F.max(F.struct(F.length("key").alias("n"), "key", "blocks")).alias(top))
+    return rows.join(best, row, "left").select(
+        *quoted(keep),
         "host",
         "path",
-        F.col("best.key").alias("rule"),
-        F.when(F.col("best.blocks"), "block").when(~F.col("best.blocks"), "allow").otherwise(default).alias("verdict"),
+        F.col(top)["key"].alias("rule"),
+        F.when(F.col(top)["blocks"], "block").when(~F.col(top)["blocks"], "allow").otherwise(default).alias("verdict"),
     )
 
 
