@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import renamed, small_batches, with_fields
 
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -138,6 +138,22 @@ _AT = re.compile(
 _DOT = re.compile(
     r"(?i)[\x20]{0,2}[\[({<][\x20]{0,2}(?:dot|\.)[\x20]{0,2}[\])}>][\x20]{0,2}"
     r"|(?<=[a-z0-9])[\x20]{1,2}dot[\x20]{1,2}(?=[a-z0-9])"
+    rf"|(?<=[a-z0-9])[\x20]{{1,2}}\.[\x20]{{1,2}}(?=(?:{_ENDS})\b)"
+)
+# Plain "at" before a domain with plain dots: an address unless the word before it is one of prose.
+_AT_PLAIN = re.compile(
+    rf"(?i)(?<=[a-z0-9])[\x20]{{1,2}}at[\x20]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,4}}\.(?:{_ENDS})\b(?!\.?[a-z0-9-]))"
+)
+_WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+$")
+#: Words that stand before "at" and a site's name in prose.
+_PROSE = frozenset(
+    "a accessible all am and any are article articles at available be been blog book books buy by can check code contact data date "
+    "demo details discussion do docs documentation download email everything example examples find for found free from further get "
+    "go guide he help her here him hosted i info information is it it's join just learn like listed live login look me more news not "
+    "now offer offered on one online only or order out page pages participate people post posted posts price published read report "
+    "reports resources review reviews sale see seen shop shown sign site sold someone something start stories story support team that "
+    "the them there these they this those tickets today tutorial up us version video videos view visit was watch we website week were "
+    "what work worked working works you".split()
 )
 _SIGNS = re.compile(r"[\[({<][\x20]{0,2}(?:at|@|dot|\.)[\x20]{0,2}[\])}>]")
 _ANY_DIGIT = re.compile("[0-9]")
@@ -148,6 +164,8 @@ def _suspect(text: str) -> bool:
     low = text.lower()
     if "dot" in low or " @ " in low or _SIGNS.search(low):
         return True
+    if " at " in low.replace("  ", " ") and _AT_PLAIN.search(low):
+        return True
     return sum(map(_SPELLED.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 3
 
 
@@ -177,6 +195,12 @@ class Mapped:
         self.changed = np.concatenate([*changed, self.changed[at:]])
 
 
+def _names(text: str, at: int) -> bool:
+    """Whether the word that ends at ``at`` may be the name in an address."""
+    word = _WORD_BEFORE.search(text, max(0, at - 64), at)
+    return word is not None and word[0].lower() not in _PROSE
+
+
 def undisguise(text: str) -> Mapped | None:
     """The rewritten text, or None if it has no sign of a disguise."""
     strange = None if text.isascii() else _STRANGE.search(text)
@@ -205,6 +229,7 @@ def undisguise(text: str) -> Mapped | None:
             at = p.end()
     out.rewrite(edits)
     out.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(out.text)])
+    out.rewrite([(m.start(), m.end(), "@") for m in _AT_PLAIN.finditer(out.text) if _names(out.text, m.start())])
     out.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(out.text)])
     return out if out.changed.any() or len(out.text) < len(text) else None
 
@@ -236,7 +261,6 @@ def scan(df: DataFrame, *, text: str = "text", into: str = "pii") -> DataFrame:
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disguised", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +272,8 @@ def scan(df: DataFrame, *, text: str = "text", into: str = "pii") -> DataFrame:
                 rows.append([{"kind": KINDS[k], "start": s, "end": e, "disguised": d} for s, k, e, d in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(item))], [*keep, into])
 
-    schema = f"{fields}, `{into}` array<struct<kind: string, start: int, end: int, disguised: boolean>>"
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = with_fields(df, keep, **{into: "array<struct<kind: string, start: int, end: int, disguised: boolean>>"})
+    return df.select(*renamed(keep), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
