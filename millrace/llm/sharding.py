@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .store import quoted, stored
 
 #: Ranges for each shard, at the least; more are made where rows are many.
 RANGES_PER_SHARD = 4
@@ -40,6 +40,8 @@ SAMPLES_PER_RANGE = 24
 OVERFULL = 2.0
 #: Rows above this part of a fair shard are dealt one by one.
 FINE = 128
+#: Splitters that become nested decisions; more are data, searched by halves.
+DECISIONS = 255
 #: Rounds of subdividing; each divides what is overfull by its own sample.
 ROUNDS = 3
 _KEY = ("__h1", "__h2", "__uid")
@@ -59,7 +61,25 @@ def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
         mid = (lo + hi) // 2
         return F.when(key < _key(splitters[mid]), decide(lo, mid)).otherwise(decide(mid + 1, hi))
 
-    return decide(0, len(splitters))
+    if len(splitters) <= DECISIONS:
+        return decide(0, len(splitters))
+    parts = [_values([s[k] for s in splitters]) for k in range(len(_KEY))]
+
+    def halve(found: Column, _: Column) -> Column:
+        lo, hi = found["lo"], found["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        at = F.struct(*[F.get(p, mid).alias(k) for p, k in zip(parts, _KEY, strict=True)])
+        pair = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+        return F.when(lo >= hi, found).when(key < at, pair(lo, mid)).otherwise(pair(mid + 1, hi))
+
+    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda found: found["lo"])
+
+
+def _values(values: list[int]) -> Column:
+    """An array of numbers as one literal: it is data of the plan, not an expression for each."""
+    return F.split(F.lit(",".join(map(str, values)) or "0"), ",").cast("array<bigint>")
 
 
 def _sample(rows: DataFrame, chance: Column, seed: int) -> list[tuple[int, int, int]]:
@@ -120,10 +140,12 @@ def assign_shards(
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
-    keep = [c for c in df.columns if c not in ("shard", "slot")]
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    keep = [f"c{k}" for k in range(len(names))]  # no name of the caller's meets one of ours
+    back = [F.col(k).alias(name) for k, name in zip(keep, names, strict=True)]
     keyed = stored(
         df.select(
-            *keep,
+            *[c.alias(k) for c, k in zip(quoted(names), keep, strict=True)],
             F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"),
             F.xxhash64(*[F.col(c) for c in group]).alias("__h1"),
             (F.xxhash64(F.col(row_id)) if row_id else F.lit(0).cast("long")).alias("__h2"),
@@ -175,7 +197,7 @@ def assign_shards(
         m, s = measured.get(k, (0, 0))
         a, b = a + m, b + s
     order = Window.partitionBy("__range").orderBy(*_KEY)
-    at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("__range") + 1)
+    at = lambda values: F.element_at(_values(values), F.col("__range") + 1)
     start = at(bytes_before) + F.coalesce(
         F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -202,20 +224,24 @@ def assign_shards(
     for r, s in zip(giants, to, strict=True):
         slots[r[-1]] = (s, held[s])
         held[s] += 1
-    shift = F.array(*[F.lit(held[k] - first.get(k, 0)).cast("long") for k in range(n_shards)])
+    shift = _values([held[k] - first.get(k, 0) for k in range(n_shards)])
     small = placed.select(
         *keep, "shard", (F.col("__index") + F.element_at(shift, F.col("shard") + 1)).alias("slot")
     )
     if not giants:
-        return small
+        return small.select(*back, "shard", "slot")
     rows = ", ".join(f"({u}L, {s}, {k}L)" for u, (s, k) in slots.items())
     given = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(__uid, shard, slot)")
-    return keyed.where(large).join(F.broadcast(given), "__uid").select(*keep, "shard", "slot").unionByName(small)
+    return keyed.where(large).join(F.broadcast(given), "__uid").select(*keep, "shard", "slot").unionByName(small).select(*back, "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Write assigned rows as one folder a shard, in slot order within files."""
-    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write assigned rows as one folder a shard.
+
+    Files hold contiguous slots in order; a shard has as many as its rows fill
+    partitions, so that no task writes more than its part.
+    """
+    df.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
