@@ -24,11 +24,14 @@ from .functions import (
     max,
     mean,
     min,
+    moving,
     nth,
     rank,
+    ranking,
     row_number,
     stdev_pop,
     stdev_samp,
+    stepwise,
     sum,
     total,
     var_pop,
@@ -76,12 +79,14 @@ __all__ = [
     "max",
     "mean",
     "min",
+    "moving",
     "mutate",
     "nth",
     "order_by",
     "over",
     "pretty",
     "rank",
+    "ranking",
     "read",
     "read_table",
     "right_join",
@@ -93,6 +98,7 @@ __all__ = [
     "sift",
     "stdev_pop",
     "stdev_samp",
+    "stepwise",
     "sum",
     "table",
     "total",

@@ -10,13 +10,14 @@ from .aggregates import (
     min,
     stdev_pop,
     stdev_samp,
+    stepwise,
     sum,
     total,
     var_pop,
     var_samp,
 )
-from .navigation import first, lag, last, lead, nth
-from .ranking import dense_rank, rank, row_number
+from .navigation import first, lag, last, lead, moving, nth
+from .ranking import dense_rank, rank, ranking, row_number
 
 __all__ = [
     "count",
@@ -31,11 +32,14 @@ __all__ = [
     "max",
     "mean",
     "min",
+    "moving",
     "nth",
     "rank",
+    "ranking",
     "row_number",
     "stdev_pop",
     "stdev_samp",
+    "stepwise",
     "sum",
     "total",
     "var_pop",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..proxy import Getter
 from .spec import Spec
@@ -84,3 +86,20 @@ def custom(function: Callable[..., Column], *getters: Getter, empty=None) -> Spe
     group's values to Python.
     """
     return _aggregate("custom", function, *getters, empty=empty)
+
+
+def stepwise(kind: type, *getters: Getter, returns: str = "double", empty=None) -> Spec:
+    """An aggregate of one's own as a class: ``step`` takes a row's values, ``finalize`` gives the result.
+
+    It sees the rows of a group or frame in no set order, nulls as None.  The
+    group's values move to Python, so a group has to fit one worker; ``custom``
+    with Spark's own aggregates has no such limit.
+    """
+
+    def run(*columns: pd.Series):
+        state = kind()
+        for values in zip(*columns, strict=True):
+            state.step(*[None if pd.isna(v) else v for v in values])
+        return state.finalize()
+
+    return _aggregate("custom", F.pandas_udf(run, DataType.fromDDL(returns), F.PandasUDFType.GROUPED_AGG), *getters, empty=empty)

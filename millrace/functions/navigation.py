@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ..proxy import Getter, const
 from .spec import Spec
 
@@ -34,3 +36,14 @@ def lead(x: Getter, n: Getter | int | None = None, default: Getter | None = None
 def lag(x: Getter, n: Getter | int | None = None, default: Getter | None = None) -> Spec:
     """The value ``n`` rows earlier in the partition; ``default`` where there is no such row or ``n`` is null."""
     return _shift("lag", x, n, default)
+
+
+def moving(function: Callable, *getters: Getter, returns: str = "double") -> Spec:
+    """A function of the frame of one's own.
+
+    ``function(begin, end, *values)`` is called once for a partition: ``values``
+    are its columns in the window's order, ``begin`` and ``end`` (exclusive)
+    the places where each row's frame begins and ends; it gives a value for
+    each row.  A partition moves to Python whole, so it has to fit one worker.
+    """
+    return Spec("moving", "move", getters, function, extra={"returns": returns})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .spec import Spec
 
 
@@ -18,3 +20,13 @@ def rank() -> Spec:
 def dense_rank() -> Spec:
     """The number of distinct order keys before the row's."""
     return Spec("dense_rank", "rank")
+
+
+def ranking(function: Callable, returns: str = "long") -> Spec:
+    """A ranking of one's own.
+
+    ``function(*keys)`` is called once for a partition with the columns of its
+    order keys, in order, and gives a rank for each row.  A partition moves to
+    Python whole, so it has to fit one worker.
+    """
+    return Spec("ranking", "rank", (), function, extra={"returns": returns})

@@ -52,7 +52,8 @@ class Window:
 
     ``preceding`` and ``following`` are functions of the row (or plain values);
     None is the partition's start, and for ``following`` the current row in an
-    ordered window or the partition's end in another.
+    ordered window or the partition's end in another.  A bound that is null in
+    some row counts as None there.
     """
 
     mode: str
@@ -105,7 +106,7 @@ def with_arrival(frame: DataFrame) -> DataFrame:
 
 
 def needs_arrival(item: Over) -> bool:
-    return not item.window.order_by and item.spec.name in ("row_number", "lead", "lag", "first", "last", "nth")
+    return not item.window.order_by and item.spec.name in ("row_number", "lead", "lag", "first", "last", "nth", "moving")
 
 
 def _whole(x: Any) -> int | None:
@@ -185,6 +186,8 @@ def compile_over(item: Over, row: RowProxy, frame: DataFrame) -> Column:
     """The function over its window as one expression; raises Unfoldable where it takes a rewrite of the frame."""
     spec = item.spec
     name, args = spec.name, spec.columns(row)
+    if name in ("moving", "ranking"):
+        raise Unfoldable
     plain = W.partitionBy(*[column(p, row) for p in item.window.partition_by])
     if spec.kind == "rank":
         orders = order_columns(item, row) or [F.lit(0).asc()]

@@ -194,6 +194,43 @@ def agg_custom_pandas(t: _Tables) -> Relation:
     )
 
 
+@query("SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS price FROM lineitem GROUP BY l_returnflag")
+def agg_custom_binary(t: _Tables) -> Relation:
+    def weighted(x, w):
+        return F.sum(x * w) / F.sum(w)
+
+    return (
+        t.lineitem
+        >> m.group_by(l_returnflag=get("l_returnflag"))
+        >> m.aggregate(price=m.custom(weighted, get("l_extendedprice"), get("l_quantity")))
+        >> m.mutate(price=lambda r: _r(r.price))
+    )
+
+
+class _Spread:
+    """The distance between the sums of two columns, a row at a time."""
+
+    def __init__(self) -> None:
+        self.sum = 0.0
+
+    def step(self, x: float | None, y: float | None) -> None:
+        if x is not None and y is not None:
+            self.sum += x - y
+
+    def finalize(self) -> float:
+        return self.sum
+
+
+@query("SELECT p_brand, round(sum(p_retailprice - p_size), 4) AS spread FROM part GROUP BY p_brand")
+def agg_stepwise_binary(t: _Tables) -> Relation:
+    return (
+        t.part
+        >> m.group_by(p_brand=get("p_brand"))
+        >> m.aggregate(spread=m.stepwise(_Spread, get("p_retailprice"), get("p_size")))
+        >> m.mutate(spread=lambda r: _r(r.spread))
+    )
+
+
 # Projection, selection, order
 
 
@@ -584,3 +621,71 @@ SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id RO
 def dyn_nth_from_end(t: _Tables) -> Relation:
     w = m.over(Window.rows(**_BY_USER))
     return t.events >> m.select(event_id=get("event_id"), v=m.nth(get("value"), const(-2)) >> w)
+
+
+# Functions of one's own, and conditions on other tables
+
+
+@query("""
+SELECT c_custkey, c_nationkey FROM customer
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) OR c_acctbal < 0
+""")
+def sift_exists(t: _Tables) -> Relation:
+    large = lambda c: t.orders >> m.sift(lambda o: (o.o_custkey == c.c_custkey) & (o.o_totalprice > 300000))
+    return (
+        t.customer
+        >> m.sift(lambda c: m.exists(large(c)) | (c.c_acctbal < 0))
+        >> m.select(c_custkey=get("c_custkey"), c_nationkey=get("c_nationkey"))
+    )
+
+
+@query("SELECT p_partkey, reverse(p_name) AS backwards FROM part")
+def select_scalar_udf(t: _Tables) -> Relation:
+    @F.pandas_udf("string")
+    def backwards(x: pd.Series) -> pd.Series:
+        return x.str[::-1]
+
+    return t.part >> m.select(p_partkey=get("p_partkey"), backwards=lambda r: backwards(r.p_name))
+
+
+#: Quarters of cents end on a five; times this they do not, and every engine rounds them alike.
+_UNTIED = 0.987654321
+
+
+@query(f"""
+SELECT event_id, round({_UNTIED}e0 * covar_samp(value, event_id) OVER w, 3) AS cs, round({_UNTIED}e0 * covar_pop(value, event_id) OVER w, 3) AS cp,
+       round({_UNTIED}e0 * var_pop(value) OVER w, 3) AS vp, round({_UNTIED}e0 * stddev_samp(value) OVER w, 4) AS ss
+FROM events WINDOW w AS ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+""")
+def win_covariance(t: _Tables) -> Relation:
+    w = m.over(Window.rows(**_BY_USER, preceding=6))
+    x, y = get("value"), get("event_id")
+    return t.events >> m.select(event_id=y, cs=m.cov_samp(x, y) >> w, cp=m.cov_pop(x, y) >> w, vp=m.var_pop(x) >> w, ss=m.stdev_samp(x) >> w) >> m.mutate(
+        cs=lambda r: _r(_UNTIED * r.cs, 3), cp=lambda r: _r(_UNTIED * r.cp, 3), vp=lambda r: _r(_UNTIED * r.vp, 3), ss=lambda r: _r(_UNTIED * r.ss)
+    )
+
+
+@query(f"""
+SELECT event_id, round(last_value(value) OVER w - first_value(value) OVER w, 6) AS change
+FROM events WINDOW w AS ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)
+""")
+def win_moving(t: _Tables) -> Relation:
+    def change(begin, end, x):
+        x = x.to_numpy()
+        return x[end - 1] - x[begin]
+
+    w = m.over(Window.rows(**_BY_USER, preceding=3))
+    return t.events >> m.select(event_id=get("event_id"), change=m.moving(change, get("value")) >> w) >> m.mutate(change=lambda r: _r(r.change, 6))
+
+
+@query("""
+SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY event_type) + count(*) OVER (PARTITION BY user_id, event_type) - 2 AS rk FROM events
+""")
+def win_ranking(t: _Tables) -> Relation:
+    def last_peer(key):
+        """The place of the last of a row's peers, from 0."""
+        peers = (key != key.shift()).cumsum()
+        return peers.groupby(peers).transform("size").groupby(peers).first().cumsum().reindex(peers).to_numpy() - 1
+
+    w = Window.rows(order_by=[get("event_type")], partition_by=[get("user_id")])
+    return t.events >> m.select(event_id=get("event_id"), rk=m.ranking(last_peer) >> m.over(w))

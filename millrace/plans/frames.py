@@ -11,18 +11,28 @@ row, each row is numbered within its partition, and
   frames touch, an equi-join again, whose output is the frames' total width.
 
 Numbering breaks ties by all other columns that have an order, so that both
-sides of a join number alike.
+sides of a join number alike.  A window without an order goes by arrival, which
+two passes over a plan need not agree on; there the frame is checkpointed with
+its numbers, in the folder that all executors share.
+
+Functions of one's own over frames (``moving``, ``ranking``) get a partition at
+once, as Arrow, with the bounds of its frames.
 """
 
 from __future__ import annotations
 
 import datetime
+import tempfile
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.spec import Spec
 from ..operators.window import (
@@ -92,9 +102,11 @@ def _bounds(frame: DataFrame, item: Over, row: RowProxy, keys: list[str]) -> Dat
     before = None if w.preceding is None else column(w.preceding, row)
     after = None if w.following is None else column(w.following, row)
     if w.mode == "rows":
-        lo = F.lit(1).cast("long") if before is None else F.greatest(F.col("__n") - before, F.lit(1).cast("long"))
+        # A bound that is null in a row is as if it were not given.
+        one = F.lit(1).cast("long")
+        lo = one if before is None else F.when(before.isNull(), one).otherwise(F.greatest(F.col("__n") - before, one))
         last = F.col("__n") if w.order_by else F.col("__size")
-        hi = last if after is None else F.least(F.col("__n") + after, F.col("__size"))
+        hi = last if after is None else F.when(after.isNull(), last).otherwise(F.least(F.col("__n") + after, F.col("__size")))
         return frame.withColumn("__lo", lo).withColumn("__hi", hi)
     return _range_bounds(frame, item, row, keys, before, after)
 
@@ -136,8 +148,8 @@ def _range_bounds(
     joined = _join(frame, right, [*[(k, f"__r{k}") for k in keys], ("__n", "__rn")], "left")
     one = F.lit(1).cast("long")
     return (
-        joined.withColumn("__lo", one if before is None else F.col("__low"))
-        .withColumn("__hi", F.col("__n") if after is None else F.col("__high"))
+        joined.withColumn("__lo", one if before is None else F.when(before.isNull(), one).otherwise(F.col("__low")))
+        .withColumn("__hi", F.col("__n") if after is None else F.when(after.isNull(), F.col("__n")).otherwise(F.col("__high")))
         .drop("__key", "__rn", "__low", "__high", *[f"__r{k}" for k in keys])
     )
 
@@ -209,6 +221,43 @@ def _add_whole(frame: DataFrame, window: Window, specs: dict[str, Spec], row: Ro
     return _join(left, found, [(k, f"__r{k}") for k in keys], "left").select(*names, *specs)
 
 
+def _settled(frame: DataFrame) -> DataFrame:
+    """``frame`` with its numbers of arrival, the same in every pass."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not context.master.startswith("local"):
+                raise RuntimeError("a frame that differs by row needs an order, or spark.checkpoint.dir set")
+            at = tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(at)
+    return with_arrival(frame).checkpoint()
+
+
+def _add_own(out: DataFrame, window: Window, keys: list[str], into: str, spec: Spec, row: RowProxy) -> DataFrame:
+    """``out`` with a function of the user's over each partition, in the order of its numbers."""
+    names = out.columns
+    if spec.name == "ranking":
+        args = [column(k.key if isinstance(k, Descending) else k, row) for k in window.order_by]
+    else:
+        args = spec.columns(row)
+    given = [f"__a{k}" for k in range(len(args))]
+    kind = T.DataType.fromDDL(spec.extra["returns"])
+    arrow = to_arrow_type(kind)
+    framed, function = spec.name == "moving", spec.build
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part["__n"]))
+        values = [part[g].to_pandas() for g in given]
+        bounds = [part["__lo"].to_numpy() - 1, part["__hi"].to_numpy()] if framed else []
+        said = pd.Series(function(*bounds, *values), dtype=object)
+        return part.select(names).append_column(into, pa.Array.from_pandas(said, type=arrow))
+
+    sent = out.select("*", *[a.alias(g) for a, g in zip(args, given, strict=True)])
+    return sent.groupBy(*keys).applyInArrow(run, T.StructType([*out.schema.fields, T.StructField(into, kind)]))
+
+
 def add_overs(frame: DataFrame, window: Window, specs: dict[str, Spec], row: RowProxy) -> DataFrame:
     """``frame`` with a column for each of ``specs``, functions over one window that no Spark window can say.
 
@@ -220,7 +269,7 @@ def add_overs(frame: DataFrame, window: Window, specs: dict[str, Spec], row: Row
         return _add_whole(frame, window, specs, row)
     names = frame.columns
     if not window.order_by:
-        frame = with_arrival(frame)
+        frame = _settled(frame)
     item = Over(next(iter(specs.values())), window)
     base, keys = _numbered(frame, item, row)
     if any(s.name not in ("lead", "lag") for s in specs.values()):
@@ -229,7 +278,9 @@ def add_overs(frame: DataFrame, window: Window, specs: dict[str, Spec], row: Row
     for into, spec in specs.items():
         if spec.name in ("lead", "lag", "nth"):
             out = _add_moved(out, base, keys, into, spec, row)
-    framed = {into: s for into, s in specs.items() if s.name not in ("lead", "lag", "nth")}
+        elif spec.name in ("moving", "ranking"):
+            out = _add_own(out, window, keys, into, spec, row)
+    framed = {into: s for into, s in specs.items() if s.name not in ("lead", "lag", "nth", "moving", "ranking")}
     if framed:
         out = _add_framed(out, base, keys, framed, row)
     return out.select(*names, *specs)

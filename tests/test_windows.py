@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace import (
     Nulls,
+    Relation,
     Window,
     const,
     count,
@@ -20,18 +21,22 @@ from millrace import (
     lead,
     max,
     mean,
+    moving,
     mutate,
     nth,
     over,
     rank,
+    ranking,
     row_number,
     select,
+    stepwise,
     sum,
     table,
 )
 
 from .test_verbs import ROWS
 
+#: The rows and results of these tests.
 T_ROWS = [
     dict(name=n, date=datetime.date(2018, 1, d), balance=b)
     for n, d, b in [("alice", 1, 2), ("alice", 4, 4), ("alice", 6, -3), ("alice", 7, -3), ("bob", 2, -1), ("bob", 3, -3), ("bob", 4, -3)]
@@ -203,3 +208,52 @@ def test_empty_table(same):
     empty = table(ROWS).df.limit(0)
     w = over(Window.rows(order_by=[get("e")], preceding=get("a")))
     same(empty >> select(s=sum(get("a")) >> w), [])
+
+
+def test_null_bounds_are_as_if_not_given(same):
+    """A bound that is null in a row reaches the partition's start, or the current row."""
+    rows = [dict(k=k, n=None if k % 2 else 1) for k in range(6)]
+    w = Window.rows(order_by=[get("k")], preceding=lambda r: r.n, following=lambda r: r.n)
+    got = table(rows) >> select(k=get("k"), s=sum(get("k")) >> over(w))
+    same(got, [dict(k=0, s=1), dict(k=1, s=1), dict(k=2, s=6), dict(k=3, s=6), dict(k=4, s=12), dict(k=5, s=15)])
+    w = Window.range(order_by=[get("k")], preceding=lambda r: r.n, following=lambda r: r.n)
+    got = table(rows) >> select(k=get("k"), s=sum(get("k")) >> over(w))
+    same(got, [dict(k=0, s=1), dict(k=1, s=1), dict(k=2, s=6), dict(k=3, s=6), dict(k=4, s=12), dict(k=5, s=15)])
+
+
+def test_arrival_is_the_same_in_every_pass(spark):
+    """Frames that differ by row over a window without an order, after a shuffle: each pass has its own arrival."""
+    df = spark.range(200).repartition(7).selectExpr("id", "id % 3 AS w")
+    got = Relation(df) >> select(id=get("id"), w=get("w"), s=sum(get("id")) >> over(Window.rows(preceding=lambda r: r.w, following=const(0))), own=last(get("id")) >> over(Window.rows(preceding=lambda r: r.w * 0, following=lambda r: r.w * 0)))
+    rows = got.df.collect()
+    assert len(rows) == 200
+    assert all(r.own == r.id for r in rows)
+    assert all(r.s == r.id for r in rows if r.w == 0)
+
+
+def test_functions_of_ones_own_keep_other_columns_exact(spark, same):
+    big = 2**62 + 1
+    rows = [dict(k=k, p=k % 2, x=None if k == 3 else big + k) for k in range(6)]
+    count_rows = lambda begin, end, x: end - begin
+    w = Window.rows(order_by=[get("k")], partition_by=[get("p")], preceding=1)
+    got = table(rows) >> select(k=get("k"), x=get("x"), n=moving(count_rows, get("x"), returns="long") >> over(w), r=ranking(lambda key: range(len(key))) >> over(w))
+    same(got, [dict(k=r["k"], x=r["x"], n=min(2, r["k"] // 2 + 1), r=r["k"] // 2) for r in rows])
+    got = table(rows) >> select(n=moving(count_rows, get("x"), returns="long") >> over(Window.rows()))
+    same(got, [dict(n=6)] * 6)
+
+
+def test_stepwise_over_a_window(same):
+    class Longest:
+        def __init__(self):
+            self.best = None
+
+        def step(self, x):
+            if x is not None and (self.best is None or x > self.best):
+                self.best = x
+
+        def finalize(self):
+            return self.best
+
+    rows = [dict(k=k, x=None if k == 2 else float(k % 4)) for k in range(6)]
+    got = table(rows) >> select(k=get("k"), b=stepwise(Longest, get("x")) >> over(Window.rows(order_by=[get("k")], preceding=1)))
+    same(got, [dict(k=0, b=0.0), dict(k=1, b=1.0), dict(k=2, b=1.0), dict(k=3, b=3.0), dict(k=4, b=3.0), dict(k=5, b=1.0)])
