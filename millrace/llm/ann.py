@@ -9,10 +9,12 @@ that a nearer one than its k-th best so far would have turned up with
 probability CONFIDENCE.
 
 The upper part of the tree is fitted on a bounded sample and deals all
-vectors to partitions; within a partition the lower part is built in its task.
-A query first searches its own partition, then only those whose bounding box
-still passes the stopping test.  Vectors that are equal count once in the
-index, with the ids that could be returned, so a common vector is one row.
+vectors to partitions; a partition that comes out large is dealt on to equal
+parts by a hash, so what one task holds is bounded whatever the table's size.
+Within a part the lower tree is built in its task.  A query first searches its
+own partition, then only those whose bounding box still passes the stopping
+test.  Vectors that are equal count once in the index, with the ids that could
+be returned, so a common vector is one row.
 """
 
 from __future__ import annotations
@@ -27,18 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .store import stored, union_all
 
 DIMENSIONS = 8
 #: Chance of seeing any one true neighbour; recall is this or more.
 CONFIDENCE = 0.98
 #: Rows that the upper tree is fitted on, at most about; every row is indexed.
 SAMPLE_ROWS = 20_000
-#: Vectors in a partition, about, and the most partitions.
-PARTITION_ROWS, MOST_PARTITIONS = 8_192, 4_096
+#: Vectors in a part that one task searches, about, and the most partitions of the upper tree.
+PART_ROWS, MOST_PARTITIONS = 8_192, 4_096
 #: Queries that one task searches with.
 QUERY_BLOCK = 20_000
 LEAF_ROWS = 256
+#: Projected neighbours that are verified together before the stopping test is asked again; doubled each time.
+VERIFIED = 32
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -58,7 +62,14 @@ def chi_square_quantile(p: float, k: int) -> float:
     return hi
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two by which its greatest component is about 1: exact, and no square overflows."""
+    _, e = np.frexp(np.abs(x).max(1, keepdims=True, initial=0))
+    return np.ldexp(x, -e)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -130,41 +141,55 @@ def search(
     best = np.full((len(queries), k), -1, np.int64)
     score = np.full((len(queries), k), -np.inf)
     for a in range(0, len(queries), 512):
-        own = slice(a, min(a + 512, len(queries)))
-        q, cosine, index = queries[own], score[own], best[own]
-        bounds = tree.bounds(projected[own])
+        bounds = tree.bounds(projected[a : a + 512])
         order = np.argsort(bounds, axis=1, kind="stable")
         bounds = np.take_along_axis(bounds, order, 1)
-        done = np.zeros(len(q), np.int64)
-        step = 1
-        while True:
-            kth = np.maximum(cosine[:, -1], worst[own])
-            reach = limit * np.maximum(2 - 2 * kth, 0)
-            # The next leaves in order, as far as the stopping test lets a query go.
-            until = np.minimum((bounds <= reach[:, None]).sum(1), done + step)
-            if (until <= done).all():
-                break
-            todo = [(order[r, done[r] : until[r]], r) for r in np.flatnonzero(until > done)]
-            leaf = np.concatenate([x for x, _ in todo])
-            row = np.repeat([r for _, r in todo], [len(x) for x, _ in todo])
-            by = np.argsort(leaf, kind="stable")
-            edges = np.flatnonzero(np.r_[True, leaf[by][1:] != leaf[by][:-1], True])
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                members, rows = tree.leaves[leaf[by[s]]], row[by[s:e]]
-                near = q[rows] @ vectors[members].T
-                every = np.concatenate([cosine[rows], near], 1)
-                names = np.concatenate([index[rows], np.broadcast_to(members, near.shape)], 1)
-                top = np.argsort(-every, axis=1, kind="stable")[:, :k]
-                cosine[rows], index[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
-            done = np.maximum(done, until)
-            step *= 2
+        for r in range(len(bounds)):
+            q = a + r
+            own, cosine = _nearest(queries[q], projected[q], vectors, points, tree, order[r], bounds[r], limit, k, worst[q])
+            best[q, : len(own)], score[q, : len(own)] = own, cosine
     return best, score
 
 
+def _nearest(query, at, vectors, points, tree, order, bounds, limit, k, worst):
+    """The best ``k`` of one query: projected neighbours are verified in order of their distance until the test holds."""
+    best, cosine = np.zeros(0, np.int64), np.zeros(0)
+    pool, far = np.zeros(0, np.int64), np.zeros(0)  # seen in opened leaves, not yet verified, by projected distance
+    opened, step, together = 0, 1, VERIFIED
+    while True:
+        kth = max(worst, cosine[-1] if len(cosine) == k else -np.inf)
+        reach = limit * max(2 - 2 * kth, 0.0)
+        ahead = bounds[opened] if opened < len(bounds) else np.inf
+        # What lies nearer than any leaf still closed is next in the order of all projected distances.
+        ready = int(np.searchsorted(far, min(ahead, reach), side="right"))
+        if ready:
+            own = pool[: min(ready, together)]
+            together *= 2
+            names, every = np.concatenate([best, own]), np.concatenate([cosine, vectors[own] @ query])
+            top = np.argsort(-every, kind="stable")[:k]
+            best, cosine = names[top], every[top]
+            pool, far = pool[len(own) :], far[len(own) :]
+        elif opened < len(bounds) and ahead <= reach:
+            own = np.concatenate([tree.leaves[x] for x in order[opened : opened + step]])
+            gap = points[own] - at
+            distance = np.concatenate([far, (gap * gap).sum(1)])
+            pool = np.concatenate([pool, own])
+            by = np.argsort(distance, kind="stable")
+            by = by[: np.searchsorted(distance[by], reach, side="right")]
+            pool, far = pool[by], distance[by]
+            opened += step
+            step *= 2
+        else:
+            return best, cosine
+
+
 def _array(column) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
+_SCHEMA = "query_id long, rank int, id long, score double"
+
+
 def neighbours(
     df: DataFrame, is_query, *, k: int = 5, vector: str = "embedding", row_id: str = "vec_id", seed: int = 11
 ) -> DataFrame:
@@ -175,8 +200,9 @@ def neighbours(
     precision.
 
     Edge cases: vectors that are null, zero, or hold a null, NaN or infinity
-    take no part, as queries or candidates, nor do those whose length is not
-    the table's greatest; rows with null ids take no part either; a query with
+    take no part, as queries or candidates; vectors of different lengths are
+    no neighbours, each length is searched by itself; components of any finite
+    size do not overflow; rows with null ids take no part; a query with
     fewer than ``k`` candidates gets them all; rows that repeat an id and a
     vector count once; no rows give no rows; other columns play no part.
     """
@@ -190,10 +216,16 @@ def neighbours(
     )
     rows = df.where(sound).select(F.col(row_id).alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = stored(rows, "ann-rows")
-    length = rows.agg(F.max(F.size("v"))).first()[0]
-    schema = "query_id long, rank int, id long, score double"
-    if length is None:
-        return spark.createDataFrame([], schema)
+    lengths = sorted(r[0] for r in rows.where("q").select(F.size("v")).distinct().collect())
+    if not lengths:
+        return spark.createDataFrame([], _SCHEMA)
+    alone = [_of_length(rows if len(lengths) == 1 else rows.where(F.size("v") == n), n, k, seed) for n in lengths]
+    return union_all(alone)
+
+
+def _of_length(rows: DataFrame, length: int, k: int, seed: int) -> DataFrame:
+    """``neighbours`` among rows ``id, v, q`` whose vectors have this length."""
+    spark = rows.sparkSession
     rows = rows.where(F.size("v") == length)
     # Equal vectors are one row of the index, with as many of their ids as one query could get.
     alike = Window.partitionBy("v").orderBy("id")
@@ -204,7 +236,7 @@ def neighbours(
     drawn = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v").toArrow()
     sample = _array(drawn["v"].to_pylist()).reshape(-1, length)
     plane = np.random.default_rng(seed).normal(size=(length, DIMENSIONS))
-    parts = min(MOST_PARTITIONS, -(-count // PARTITION_ROWS))
+    parts = min(MOST_PARTITIONS, -(-count // PART_ROWS))
     nodes = _splits(_unit(sample) @ plane if len(sample) else np.zeros((0, DIMENSIONS)), parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +251,18 @@ def neighbours(
 
     index = stored(classes.select("v", "ids").mapInArrow(place, "v array<double>, ids array<long>, p array<double>, part long"), "ann-index")
     boxes = index.groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.array(*[F.min(F.col("p")[d]) for d in range(DIMENSIONS)]).alias("low"),
         F.array(*[F.max(F.col("p")[d]) for d in range(DIMENSIONS)]).alias("high"),
     )
-    boxes = sorted((r["part"], r["low"], r["high"]) for r in boxes.collect())
+    boxes = sorted((r["part"], r["low"], r["high"], -(-r["rows"] // (2 * PART_ROWS))) for r in boxes.collect())
     ids = np.array([b[0] for b in boxes])
     low, high = np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes])
     limit = chi_square_quantile(CONFIDENCE, DIMENSIONS)
+    # Equal parts of the partitions; the upper tree bounds their number of rows.
+    divided = F.broadcast(spark.createDataFrame([(int(b[0]), int(b[3])) for b in boxes], "part long, parts int"))
+    sub = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")
+    index = index.join(divided, "part").withColumn("sub", sub)
     asked = rows.where("q").select("v", F.array("id").alias("ids")).distinct()
     asked = stored(
         asked.mapInArrow(place, "v array<double>, ids array<long>, p array<double>, part long").withColumn("worst", F.lit(-math.inf)),
@@ -236,7 +273,7 @@ def neighbours(
         columns = ["query_id", "id", "score"]
         if not len(queries) or not len(own):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        original, wanted = _array(own["v"]), _array(queries["v"])
+        original, wanted = _scaled(_array(own["v"])), _scaled(_array(queries["v"]))
         unit = _unit(original)
         # A query's own class is found as well, hence one more than k.
         best, _ = search(unit, _array(own["p"]), _unit(wanted), _array(queries["p"]), k + 1, queries["worst"].to_numpy())
@@ -249,12 +286,18 @@ def neighbours(
 
     def searched(queries: DataFrame) -> DataFrame:
         blocks = queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
-        left = queries.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")))
+        left = (
+            queries.join(F.broadcast(blocks), "part")
+            .join(divided, "part")
+            # Of the same type on both sides: keys of other types are dealt to other tasks.
+            .withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).cast("int"))
+            .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        )
         right = index.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         found = (
-            left.select("part", "block", "v", "ids", "p", "worst")
-            .groupBy("part", "block")
-            .cogroup(right.select("part", "block", "v", "ids", "p").groupBy("part", "block"))
+            left.select("part", "sub", "block", "v", "ids", "p", "worst")
+            .groupBy("part", "sub", "block")
+            .cogroup(right.select("part", "sub", "block", "v", "ids", "p").groupBy("part", "sub", "block"))
             .applyInPandas(look, "query_id long, id long, score double")
         )
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
