@@ -5,18 +5,20 @@ over domains.  A document of ``t`` tokens that is drawn at rate ``r`` adds
 ``r * t * posterior`` to the expected tokens of the domains.  Rates are fitted
 by distributed projected-gradient least squares:
 
-    min  1/2 sum_k ((S_k - T_k) / N)^2  +  ridge/2 sum_i (t_i / N) (r_i - 1)^2,
+    min  1/2 sum_k ((S_k - T_k) / N)^2 / w_k  +  ridge/2 sum_i (t_i / N) (r_i - 1)^2,
     0 <= r_i (<= max_rate),   S_k = sum_i r_i t_i posterior_ik
 
-with T the target tokens and N all tokens.  In the metric of the tokens the
-gradient at a document is ``posterior . (S - T) / N + ridge (r - 1)``: it needs
-only the K totals.  So a step is one aggregation of K sums over a narrow table;
+with T the target tokens, N all tokens and w the target weights, so that a
+small domain meets its target as closely as a large one.  In the metric of the
+tokens the gradient at a document is ``posterior . (S - T) / (N w) + ridge (r -
+1)``: it needs only the K totals.  So a step is one aggregation of K sums over a narrow table;
 rates are not stored but computed anew from the few K-vectors of the steps so
-far (with Nesterov's acceleration), and the driver holds K numbers a step.
+far (with Nesterov's acceleration, begun anew where it overshoots), and the driver holds K numbers a step.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sparse import chosen_terms, examples_of, give_back, tidied
-from .store import place, stored
+from .store import once_each, place, renamed, stored, with_fields
 from .textkernel import mix64, slices, terms
 
 #: Labelled rows that the classifier is fitted on, at most about.
@@ -35,8 +37,8 @@ BITS, TERMS, EPOCHS = 20, 2_048, 30
 LEAST_CHI, LEAST_DOCS = 10.0, 4
 PREFIXES = (4, 5)
 RIDGE = 1e-3
-#: Steps of the fit at most, and the change of any total, in parts of all tokens, at which it ends.
-STEPS, SETTLED = 60, 2e-5
+#: Steps of the fit at most, and the change of any domain's total, in parts of its target, at which it ends.
+STEPS, SETTLED = 60, 2e-4
 
 _UPPER, _PUNCT, _DIGITS, _BREAKS = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -151,7 +153,8 @@ def fit_posterior(
     """Fit on at most about SAMPLE_ROWS rows of ``labels`` (``row_id`` and what ``domain`` reads), drawn by a hash of the id.
 
     Rows with a null id or a domain not in ``domains`` are left out; of several
-    labels for an id the least domain holds.
+    labels for an id the least domain holds; of documents that repeat an id one
+    counts, so what is collected is bounded by the ids.
     """
     known = labels.select(F.col(row_id).alias("__id"), domain.alias("__domain"))
     known = known.where(F.col("__id").isNotNull() & F.col("__domain").isin(domains)).groupBy("__id").agg(F.min("__domain").alias("__domain"))
@@ -169,13 +172,14 @@ def fit_posterior(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), own], ["id", "domain", "terms"]
                 )
 
+    ids = docs.select(F.col(row_id).alias("__id"))
     rows = (
         docs.select(F.col(row_id).alias("__id"), F.col(text).cast("string").alias("__text"))
         .join(F.broadcast(drawn), "__id")
         .select("__id", "__domain", "__text")
         .mapInArrow(tidied(features), f"id {kind}, domain string, terms array<int>")
-        .toArrow()
     )
+    rows = once_each(rows, ids, drawn, ["id", "domain"], "terms").toArrow()
     examples, order = examples_of(rows, "id", "terms")
     model = Posterior.fit(examples, rows["domain"].take(pa.array(order)).to_pylist(), domains)
     del rows, examples
@@ -186,7 +190,6 @@ def fit_posterior(
 def posteriors(df: DataFrame, model: Posterior, *, text: str = "text") -> DataFrame:
     """Add ``tokens`` (long) and ``posterior`` (array of doubles in the order of ``model.domains``) to every row."""
     keep = [c for c in df.columns if c not in ("tokens", "posterior")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, known = len(model.domains), model.flags()
@@ -202,43 +205,64 @@ def posteriors(df: DataFrame, model: Posterior, *, text: str = "text") -> DataFr
                 [*batch.columns[:-1], pa.array(np.concatenate(counts)), lists], [*keep, "tokens", "posterior"]
             )
 
-    schema = ", ".join([*fields, "tokens long", "posterior array<double>"])
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidied(run), schema)
+    schema = with_fields(df, keep, tokens="long", posterior="array<double>")
+    return df.select(*renamed(keep), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 @dataclass
 class Rates:
-    """The fitted rates as a function of the posterior: the steps' K-vectors and their step size."""
+    """The fitted rates as a function of the posterior: the steps' K-vectors with their momentum, and the step size."""
 
-    steps: list[np.ndarray]
+    steps: list[tuple[np.ndarray, float]]
     size: float
     ridge: float
     max_rate: float | None
+    #: Expected tokens of the domains at the fitted rates, and the targets; whether the steps settled before they ran out.
+    totals: np.ndarray | None = None
+    goal: np.ndarray | None = None
+    settled: bool = False
 
-    def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
-        """Rates for posteriors ``p``; ``ahead``: the extrapolated point where the next step takes its gradient."""
+    def of(self, p: np.ndarray) -> np.ndarray:
+        """Rates for posteriors ``p``."""
+        return self.path(p)[0]
+
+    def path(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rates, the point ahead where the next step takes its gradient, and by how much momentum went astray.
+
+        The last is positive where a step turned against the one before it.
+        """
         rate = point = np.ones(len(p))
-        for j, g in enumerate(self.steps):
+        astray = np.zeros(len(p))
+        for g, momentum in self.steps:
             new = np.maximum(point - self.size * (p @ g + self.ridge * (point - 1)), 0)
             if self.max_rate is not None:
                 new = np.minimum(new, self.max_rate)
-            point, rate = new + j / (j + 3) * (new - rate), new
-        return point if ahead else rate
+            astray = (point - new) * (new - rate)
+            point, rate = new + momentum * (new - rate), new
+        return rate, point, astray
 
 
 def _sums(table: DataFrame, rates: Rates, k: int, ahead: bool, square: bool = False) -> np.ndarray:
-    """Expected tokens of the domains at the rates; ``square``: the second moments of posteriors by tokens."""
+    """Expected tokens of the domains at the rates or ahead of them, and then how far momentum went astray.
+
+    ``square``: the second moments of posteriors by tokens.
+    """
+    size = k * k if square else k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(k * k if square else k)
+        out = np.zeros(size)
         for batch in batches:
             t = batch.column(0).to_numpy().astype(float)
             p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            out += ((p * t[:, None]).T @ p).ravel() if square else (rates.of(p, ahead) * t) @ p
+            if square:
+                out += ((p * t[:, None]).T @ p).ravel()
+                continue
+            rate, point, astray = rates.path(p)
+            out += np.append(((point if ahead else rate) * t) @ p, astray @ t)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["k", "s"])
 
     parts = table.select("tokens", "posterior").mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s")).collect()
-    out = np.zeros(k * k if square else k)
+    out = np.zeros(size)
     for d, s in parts:
         out[d] = s
     return out
@@ -255,21 +279,29 @@ def fit_rates(
     """
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
+    if not (share > 0).all():
+        raise ValueError("every domain needs a positive weight")
     start = Rates([], 0.0, ridge, max_rate)
-    now = _sums(table, start, k, False)
+    now = _sums(table, start, k, False)[:k]
     everything = now.sum()
     if not everything:
         return start
     goal = share * (now[0] / share[0] if keep_first else tokens or everything)
     moment = _sums(table, start, k, False, square=True).reshape(k, k) / everything
-    rates = Rates([], 1 / (np.linalg.eigvalsh(moment).max() + ridge), ridge, max_rate)
-    before = now
+    moment /= np.sqrt(share[:, None] * share)
+    rates = Rates([], 1 / (np.linalg.eigvalsh(moment).max() + ridge), ridge, max_rate, goal=goal)
+    before, since = now, 0  # steps since momentum began anew
     for _ in range(STEPS):
-        rates.steps.append((now - goal) / everything)
-        now = _sums(table, rates, k, True)
-        if np.abs(now - before).max() < SETTLED * everything:
+        rates.steps.append(((now - goal) / (everything * share), since / (since + 3)))
+        *now, astray = _sums(table, rates, k, True)
+        now, since = np.array(now), 0 if astray > 0 else since + 1
+        rates.settled = bool((np.abs(now - before) < SETTLED * goal).all())
+        if rates.settled:
             break
         before = now
+    rates.totals = _sums(table, rates, k, False)[:k]
+    if not rates.settled:
+        logging.getLogger(__name__).warning("rates not settled in %d steps: totals %s, targets %s", STEPS, rates.totals, goal)
     return rates
 
 

@@ -141,5 +141,17 @@ def with_fields(df: DataFrame, names: list[str], **added: str) -> T.StructType:
     return out
 
 
+def once_each(rows: DataFrame, ids: DataFrame, drawn: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` (``keys, value``) with one row for each of ``keys``, the least ``value``.
+
+    ``ids`` and ``drawn`` (few rows) hold the column ``__id`` of all rows and of those wanted; values are only
+    grouped if some wanted id repeats, which a pass over the ids alone tells.
+    """
+    counts = ids.join(F.broadcast(drawn.select("__id")), "__id").groupBy("__id").count()
+    if counts.where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy(*keys).agg(F.min(value).alias(value))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparse import chosen_terms, examples_of, give_back, tidied
-from .store import small_batches
+from .store import once_each, renamed, small_batches, with_fields
 from .textkernel import slices, terms
 
 #: Labelled rows that the fit draws, about; all of them where there are fewer.
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", row_id="doc_id", lab
     """Fit on at most about ``sample_rows`` labelled documents, drawn by a hash of the id.
 
     Null labels and ids are left out; of several labels for an id the largest
-    holds; labels without a document count for nothing.
+    holds; labels without a document count for nothing; of documents that
+    repeat an id one counts, so what is collected is bounded by the ids.
     """
     small_batches(docs.sparkSession)
     known = (
@@ -172,13 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", row_id="doc_id", lab
                 )
 
     kind = dict(docs.dtypes)[row_id]
+    ids = docs.select(F.col(row_id).alias("__id"))
     rows = (
         docs.select(F.col(row_id).alias("__id"), F.col(text).cast("string").alias("__text"))
         .join(F.broadcast(drawn), "__id")
         .select("__id", "__label", "__text")
         .mapInArrow(tidied(features), f"id {kind}, label int, terms array<int>")
-        .toArrow()
     )
+    rows = once_each(rows, ids, drawn, ["id", "label"], "terms").toArrow()
     examples, order = examples_of(rows, "id", "terms")
     model = FactorizationMachine.fit(examples, rows["label"].to_numpy()[order])
     del rows, examples
@@ -195,11 +197,10 @@ def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", int
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != into]
-    schema = df.select(*keep).schema
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], f"`{into}` double"]
+    schema = with_fields(df, keep, **{into: "double"})
     # The text goes to Python once, if it is among what is kept.
     at = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else len(keep)
-    sent = df.select(*keep) if at < len(keep) else df.select(*keep, F.col(text).cast("string").alias("__text"))
+    sent = df.select(*renamed(keep), *[F.col(text).cast("string").alias("text")] * (at == len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.flags()
@@ -211,7 +212,7 @@ def score(df: DataFrame, model: FactorizationMachine, *, text: str = "text", int
                 [*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], [*keep, into]
             )
 
-    return sent.mapInArrow(tidied(run), ", ".join(fields))
+    return sent.mapInArrow(tidied(run), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

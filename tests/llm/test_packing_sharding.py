@@ -1,10 +1,12 @@
 """Packing and sharding: whole, gapless, and as full and even as they say."""
 
+import bisect
 import random
 import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -150,3 +152,35 @@ def test_op8_stays_in_the_jvm(spark):
         raw = docs[r.doc_id].encode()
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
     _sizes(got)
+
+
+def test_many_splitters_are_searched_as_data(spark, monkeypatch):
+    """The same ranges, whether splitters are nested decisions or an array searched by halves."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(-3, 3), rng.randrange(-50, 50), k) for k in range(2000)]
+    splitters = sorted({(rng.randrange(-3, 3), rng.randrange(-50, 50), rng.randrange(2000)) for _ in range(300)})
+    df = spark.createDataFrame(rows, "__h1 long, __h2 long, __uid long")
+    found = df.select("*", sharding._range_of(splitters).alias("r")).collect()
+    assert all(r.r == bisect.bisect_right(splitters, tuple(r)[:3]) for r in found)
+    monkeypatch.setattr(sharding, "DECISIONS", 10**6)
+    assert [r.r for r in df.select(sharding._range_of(splitters).alias("r")).collect()] == [r.r for r in found]
+    monkeypatch.setattr(sharding, "DECISIONS", 0)
+    assert {r.r for r in df.select(sharding._range_of(splitters[150:151]).alias("r")).collect()} == {0, 1}
+
+
+def test_shards_are_written_in_parts_and_in_order(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "1L AS size")
+    placed = sharding.assign_shards(df, 2, size="size", group=["id"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sharding.write_shards(placed, f"{tmp_path}/shards")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    for shard in (0, 1):
+        files = sorted(tmp_path.glob(f"shards/shard={shard}/*.parquet"))
+        assert len(files) > 1
+        slots = [pq.read_table(f, columns=["slot"])["slot"].to_pylist() for f in files]
+        assert all(own == list(range(own[0], own[0] + len(own))) for own in slots)
+        assert sorted(x for own in slots for x in own) == list(range(2500))

@@ -5,11 +5,13 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import toxicity
+from millrace.llm import exact_dedup, html_extract, mixing, near_dedup, packing, pii, sharding, toxicity, url_filter
 from millrace.llm.queries import ORACLE, QUERIES
 from millrace.llm.store import stored
 
@@ -81,6 +83,38 @@ def test_dropped_rows_do_not_depend_on_how_a_scan_is_split(spark, monkeypatch, t
     assert sorted(r.doc_id for r in got) == list(range(80, 120))
 
 
+def clashing(spark, n=24):
+    """Documents and pages in one, with columns named as the operators' own or with a dot."""
+    names = ["a.b", "keys", "__uid", "__text", "__html", "__row", "__score", "__size", "__index", "__h1", "__range", "__best", "__hit", "`q`"]
+    rows = [(k, f"some words, number {k % 7}", f"http://x.org/{k}", f"<p>text {k}</p>", "en", *[k] * len(names)) for k in range(n)]
+    return spark.createDataFrame(rows, ["doc_id", "text", "url", "html", "lang", *names]).repartition(2), names
+
+
+def test_columns_with_clashing_names_are_kept(spark):
+    df, names = clashing(spark)
+    model = toxicity.FactorizationMachine.fit([], np.zeros(0))
+    posterior = mixing.Posterior.fit([], [], ["x", "y"])
+    rules = spark.createDataFrame([("org", "/1", "block")], "host string, path string, verdict string")
+    results = {
+        "pii": pii.scan(df),
+        "html": html_extract.main_text(df, into="main"),
+        "toxicity": toxicity.score(df, model),
+        "mixing": mixing.posteriors(df, posterior),
+        "url": url_filter.judge(df, rules),
+        "sharding": sharding.assign_shards(df, 3, size="__size", group=["text"], row_id="doc_id"),
+    }
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        results[stage.__name__] = stage(spark, df, FOLDER)
+    assert corpus_pipeline.mix(spark, df, FOLDER).columns == df.columns
+    for name, got in results.items():
+        assert got.columns[: len(df.columns)] == df.columns, name
+        rows = got.collect()
+        assert all(r[n] == r["doc_id"] for r in rows for n in names), name
+        assert len(rows) == (24 if name not in ("exact", "near") else 7), name
+    for found in (exact_dedup.dedup(df, F.lit(True)), near_dedup.near_duplicates(df), packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))):
+        assert found.count() == 24
+
+
 def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -97,6 +131,39 @@ def test_queries_equal_sql(name, spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.fetchall()), key=str)
 
 
+def test_near_dedup_query_against_plain(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    expected, _ = plain([tuple(r) for r in docs], 3, 85)
+    got = QUERIES["op2_near_dedup"](spark, FOLDER).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(expected)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_packing_query_against_the_tokenizer(spark):
+    """Every document's ids, by the public library, cut as the pieces say; every sequence gapless."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in QUERIES["op10_packing"](spark, FOLDER).collect():
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(docs)
+    for i, own in by_doc.items():
+        ids = np.array([*tokenizer.encode(docs[i], add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+
+
 def test_query_columns(spark):
     kinds = {
         "op2_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
