@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from millrace.llm.store import ROW, numbered, stored
+from millrace.llm.store import ROW, free_name, numbered, quoted, stored
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -28,41 +28,47 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
-    scored = toxicity.score(docs, model, into="__score")
-    return scored.where(F.col("__score") < 0.5).select(*docs.columns)
+    score = free_name(docs.columns, "__score")
+    return toxicity.score(docs, model, into=score).where(F.col(score) < 0.5).select(*quoted(docs.columns))
 
 
 #: Dropped rows that are sent to all tasks as numbers; more of them meet their documents in a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def _keep(docs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
-    """The rows of ``docs`` (see ``numbered``) but those whose number is not kept in ``found`` (``id, uid, kept``)."""
-    gone = stored(found.where("NOT kept").select(F.col("uid").alias(ROW)), tag)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a stored number for each row, and the name of that column, which no other has."""
+    row = free_name(docs.columns, ROW)
+    return numbered(docs, "pipeline-documents", row), row
+
+
+def _keep(docs: DataFrame, row: str, found: DataFrame, tag: str) -> DataFrame:
+    """The rows of ``docs`` but those whose number, in ``row``, is not kept in ``found`` (``id, uid, kept``)."""
+    gone = stored(found.where("NOT kept").select(F.col("uid").alias(row)), tag)
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, ROW, "left_anti").drop(ROW)
+    return docs.join(F.broadcast(gone) if few else gone, row, "left_anti").drop(row)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
-    docs = numbered(docs, "pipeline-documents")
-    found = exact_dedup.dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0, row=ROW)
-    return _keep(docs, found, "pipeline-exact")
+    docs, row = _numbered(docs)
+    found = exact_dedup.dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0, row=row)
+    return _keep(docs, row, found, "pipeline-exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, 80 %) the one with the least doc_id stays."""
-    docs = numbered(docs, "pipeline-documents")
-    found = near_dedup.near_duplicates(docs, size=5, percent=80, row=ROW)
-    return _keep(docs, found, "pipeline-near")
+    docs, row = _numbered(docs)
+    found = near_dedup.near_duplicates(docs, size=5, percent=80, row=row)
+    return _keep(docs, row, found, "pipeline-near")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the fitted rates, each once at most; high quality keeps all of its tokens."""
-    docs = numbered(docs, "pipeline-documents")
+    docs, row = _numbered(docs)
     domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
-    found = mixing.mix(docs, _labels(spark, sf_dir), domain, WEIGHTS, keep_first=True, max_rate=1.0, row=ROW)
-    return _keep(docs, found.withColumn("kept", F.col("copies") > 0), "pipeline-mix")
+    found = mixing.mix(docs, _labels(spark, sf_dir), domain, WEIGHTS, keep_first=True, max_rate=1.0, row=row)
+    return _keep(docs, row, found.withColumn("kept", F.col("copies") > 0), "pipeline-mix")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
