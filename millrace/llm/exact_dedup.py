@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
@@ -81,6 +81,18 @@ class Snapshot:
         )
         return cls(groups, stored(filters, "dedup-filters"), buckets)
 
+    def save(self, path: str) -> None:
+        """Write the snapshot to the new folder ``path``, for later batches."""
+        self.groups.write.parquet(f"{path}/groups")
+        self.filters.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/filters")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Snapshot:
+        """The snapshot that ``save`` wrote to ``path``."""
+        filters = spark.read.parquet(f"{path}/filters")
+        some = filters.select("buckets").first()
+        return cls(spark.read.parquet(f"{path}/groups"), filters.drop("buckets"), some[0] if some else 1)
+
     def screen(self, groups: DataFrame) -> DataFrame:
         """``digest`` of those of ``groups`` (distinct digests) that may be in the snapshot."""
         keyed = groups.select("digest", _key64(F.col("digest")).alias("key")).withColumn(
@@ -159,6 +171,55 @@ def dedup(
     )
 
 
+def against(
+    df: DataFrame,
+    snapshot: Snapshot,
+    known: DataFrame,
+    *,
+    text: str = "text",
+    row_id: str = "doc_id",
+    row: str | None = None,
+) -> DataFrame:
+    """A new batch ``df`` screened against an earlier ``snapshot`` of ``known``, which holds the same two columns.
+
+    Returns a row for each row of ``df``: ``id``, ``uid``, ``digest``,
+    ``keep_id``, ``group_size`` (rows of both tables), ``known`` (whether the
+    snapshot has the text) and ``kept``.  The snapshot is immutable: what it has
+    is never kept again, whatever the ids.  Of texts new to it, the row with
+    the largest id stays.
+
+    Edge cases: null texts, null ids, repeated ids, empty tables and other
+    columns are as in ``dedup``.  A representative that ``known`` lacks is not
+    compared; its digest decides.
+    """
+    light = stored(digests(df, text, row_id, F.lit(False), row).drop("old"), "dedup-digests")
+    total = light.count()
+    batch = stored(_grouped(light), "dedup-batch")
+    old = snapshot.groups.select("digest", F.col("id").alias("old_id"), F.col("n").alias("old_n"))
+    pairs = stored(
+        batch.join(snapshot.screen(batch), "digest", "left_semi").withColumnRenamed("id", "new_id").join(old, "digest"),
+        "dedup-pairs",
+    )
+    both = [d.select(F.col(row_id).alias("id"), F.col(text).alias("text")) for d in (known, df)]
+    same = _same_bytes(both[0].unionByName(both[1]), pairs, "text", "id")
+    met = pairs.join(same, "digest", "left_semi").select("digest", "old_id", "old_n")
+    is_known = F.col("old_n").isNotNull()
+    groups = stored(
+        batch.join(met, "digest", "left").select(
+            "digest",
+            F.when(is_known, F.col("old_id")).otherwise(F.col("id")).alias("keep_id"),
+            F.col("uid").alias("top"),
+            (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"),
+            is_known.alias("known"),
+            "n",
+        ),
+        "dedup-groups",
+    )
+    return lookup(light, groups, ["digest"], "n", total).select(
+        "id", "uid", "digest", "keep_id", "group_size", "known", (~F.col("known") & (F.col("uid") == F.col("top"))).alias("kept")
+    )
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """Exact duplicates over all documents; three quarters of the ids (by hash) form the snapshot."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -48,6 +48,42 @@ def test_exact_with_one_side_only(spark, old):
     assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
 
 
+def test_exact_batches_against_a_saved_snapshot(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 3)
+    rng = random.Random(5)
+    first = [(i, rng.choice(["", None, *[f"t{k}" for k in range(12)]])) for i in range(60)] + [(None, "null id")]
+    old = frame(spark, first)
+    exact_dedup.Snapshot.build(exact_dedup.digests(old, "text", "doc_id", F.lit(True))).save(f"file://{tmp_path}/s")
+    for lo, hi in ((0, 18), (12, 30)):
+        rows = [(i, rng.choice([None, "null id", *[f"t{k}" for k in range(lo, hi)]])) for i in range(30, 150)] + [(None, "new"), (9, "new")]
+        snapshot = exact_dedup.Snapshot.open(spark, f"file://{tmp_path}/s")
+        assert snapshot.buckets > 1
+        got = exact_dedup.against(frame(spark, rows), snapshot, old).collect()
+        before, now = {}, {}
+        for table, found in ((first, before), (rows, now)):
+            for i, t in table:
+                found.setdefault(hashlib.sha256((t or "").encode()).digest(), []).append(i)
+        assert len(got) == len(rows)
+        for r in got:
+            digest = bytes(r.digest)
+            group = before.get(digest, now[digest])
+            assert r.known == (digest in before)
+            assert r.keep_id == max((i for i in group if i is not None), default=None)
+            assert r.group_size == len(before.get(digest, [])) + len(now[digest])
+        kept = [bytes(r.digest) for r in got if r.kept]
+        assert sorted(kept) == sorted(set(now) - set(before))
+        assert all(r.id == r.keep_id for r in got if r.kept)
+
+
+def test_exact_against_an_empty_snapshot(spark, tmp_path):
+    none = frame(spark, [(1, "a")]).limit(0)
+    exact_dedup.Snapshot.build(exact_dedup.digests(none, "text", "doc_id", F.lit(True))).save(f"file://{tmp_path}/s")
+    snapshot = exact_dedup.Snapshot.open(spark, f"file://{tmp_path}/s")
+    got = exact_dedup.against(frame(spark, [(1, "a"), (2, "a")]), snapshot, none).collect()
+    assert sorted((r.id, r.keep_id, r.group_size, r.known, r.kept) for r in got) == [(1, 2, 2, False, False), (2, 2, 2, False, True)]
+    assert exact_dedup.against(none, snapshot, none).count() == 0
+
+
 def test_exact_empty(spark):
     assert exact_dedup.dedup(frame(spark, [(1, "a")]).limit(0), F.lit(True)).count() == 0
 
