@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
